@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairngraph.llm import fingerprint
+from cairngraph.llm import fingerprint, licenses, mixing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,11 +20,29 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_fingerprint": op3_fingerprint,
+        "op6_secrets": op6_secrets,
+        "op8_mixing": op8_mixing,
+        "op9_licenses": op9_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_mixing": mixing.oracle(),
+        "op9_licenses": licenses.oracle(),
+    }
