@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairngraph.llm import fingerprint, licenses, mixing, secrets
+from cairngraph.llm import fingerprint, licenses, mixing, neardup, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir))
 
@@ -35,6 +39,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_fingerprint": op3_fingerprint,
+        "op4_neardup": op4_neardup,
         "op6_secrets": op6_secrets,
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
