@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairngraph.llm import fingerprint, licenses, mixing, neardup, secrets
+from cairngraph.llm import fingerprint, langid, licenses, mixing, neardup, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Query]:
         "op3_fingerprint": op3_fingerprint,
         "op4_neardup": op4_neardup,
         "op6_secrets": op6_secrets,
+        "op7_langid": op7_langid,
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
     }
