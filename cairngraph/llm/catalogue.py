@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairngraph.llm import fingerprint, langid, licenses, mixing, neardup, secrets
+from cairngraph.llm import fingerprint, langid, licenses, mixing, neardup, packing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_fingerprint": op3_fingerprint,
         "op4_neardup": op4_neardup,
+        "op5_packing": op5_packing,
         "op6_secrets": op6_secrets,
         "op7_langid": op7_langid,
         "op8_mixing": op8_mixing,
