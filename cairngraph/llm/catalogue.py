@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairngraph.llm import fingerprint, langid, licenses, mixing, neardup, packing, secrets
+from cairngraph.llm import fingerprint, langid, licenses, mixing, neardup, packing, secrets, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet")), F.col("vec_id") % 100 == 0)
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir))
 
@@ -46,6 +51,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_topk": op1_topk,
         "op3_fingerprint": op3_fingerprint,
         "op4_neardup": op4_neardup,
         "op5_packing": op5_packing,
@@ -58,6 +64,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_topk": topk.oracle(),
         "op8_mixing": mixing.oracle(),
         "op9_licenses": licenses.oracle(),
     }
