@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairngraph.llm import fingerprint, langid, licenses, mixing, neardup, packing, secrets, topk
+from cairngraph.llm import fingerprint, langid, licenses, linededup, mixing, neardup, packing, secrets, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_topk": op1_topk,
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op7_langid": op7_langid,
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
+        "op10_linededup": op10_linededup,
     }
 
 
@@ -67,4 +72,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_topk": topk.oracle(),
         "op8_mixing": mixing.oracle(),
         "op9_licenses": licenses.oracle(),
+        "op10_linededup": linededup.oracle(),
     }
