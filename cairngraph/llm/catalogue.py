@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairngraph.llm import fingerprint, langid, licenses, linededup, mixing, neardup, packing, secrets, topk
+from cairngraph.llm import fingerprint, langid, licenses, linededup, mixing, neardup, packing, secrets, substring, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet")), F.col("vec_id") % 100 == 0)
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(documents(spark, sf_dir))
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_topk": op1_topk,
+        "op2_substring": op2_substring,
         "op3_fingerprint": op3_fingerprint,
         "op4_neardup": op4_neardup,
         "op5_packing": op5_packing,
