@@ -57,8 +57,15 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": pipeline,
         "op1_topk": op1_topk,
         "op2_substring": op2_substring,
         "op3_fingerprint": op3_fingerprint,
