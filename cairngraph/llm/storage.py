@@ -20,9 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: With the result in the shared folder, the shuffle files that led to it serve nothing more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: a lost executor costs nothing made before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
