@@ -40,10 +40,15 @@ def match_query(index: DataFrame, queries: DataFrame, max_terms: int, fallback:
     return found.unionByName(bare.crossJoin(F.broadcast(top)).select("query_id", "term", "rank", F.lit(True).alias("is_fallback")))
 
 
+def _run(n: int):
+    return lambda i: F.array_join(F.slice("w", i, n), " ")
+
+
 def match_tokens(queries: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
     """(query_id, name): names equal to a run of 1..longest query words, case aside."""
     words = queries.select("query_id", F.split(normalise(F.regexp_replace("text", r"[^\w\s-]", " ")), " ").alias("w"))
-    spans = F.flatten(F.array(*[F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]))
+    runs = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), _run(n))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
+    spans = F.flatten(F.array(*runs))
     grams = words.select("query_id", F.explode(F.array_distinct(spans)).alias("gram"))
     keyed = names.select("name", normalise(F.col("name")).alias("gram"))
     return grams.join(keyed, "gram").select("query_id", "name").distinct()

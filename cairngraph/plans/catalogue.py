@@ -2,51 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from cairngraph.plans import graph_queries, text_queries, upkeep_queries
+from cairngraph.plans.registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, and its oracle where SQL can express one."""
-
-    def add(fn: Query) -> Query:
-        if name in _QUERIES:
-            raise ValueError(f"query {name!r} is registered twice")
-        _QUERIES[name] = fn
-        if sql is not None:
-            _ORACLES[name] = sql
-        return fn
-
-    return add
-
-
-@query(
-    "hop_two_pairs",
-    """SELECT o_orderkey AS order_id, l_partkey AS part_id
-       FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
-       WHERE c_nationkey = 3""",
-)
-def hop_two_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey = 3").select("c_custkey")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
-    return (
-        customer.join(orders, F.col("c_custkey") == F.col("o_custkey"))
-        .join(lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-        .select(F.col("o_orderkey").alias("order_id"), F.col("l_partkey").alias("part_id"))
-    )
+__all__ = ["graph_queries", "oracle_sql", "queries", "text_queries", "upkeep_queries"]
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
