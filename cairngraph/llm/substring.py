@@ -239,10 +239,10 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with ``kept`` (the words that stay, joined by a space), ``n_words`` and ``n_removed``."""
     keys = _keyed(docs)
-    ranges = removed_ranges(keys, window).groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("__ranges"))
+    ranges = removed_ranges(keys, window).groupBy(F.col("doc").alias("__of_doc"), F.col("tag").alias("__of_tag")).agg(F.collect_list(F.struct("low", "high")).alias("__ranges"))
     columns = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("__doc"), F.xxhash64("text").alias("__tag"))
-    joined = rows.join(ranges, (F.col("__doc") == F.col("doc")) & (F.col("__tag") == F.col("tag")), "left").drop("__doc", "__tag", "doc", "tag")
+    joined = rows.join(ranges, (F.col("__doc") == F.col("__of_doc")) & (F.col("__tag") == F.col("__of_tag")), "left").drop("__doc", "__tag", "__of_doc", "__of_tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
