@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairngraph.llm.storage import small_batches
 from cairngraph.llm.textbatch import U64, word_slices
 
 SHINGLE, FRACTION, HEX = 5, 1 / 8, 10
@@ -147,6 +148,7 @@ def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE, fraction: float
                 yield from _emit(held, shingle, fraction)
                 held = held[-1:]
 
+    small_batches(docs.sparkSession)
     return in_order(docs).mapInArrow(pairs, SCHEMA)
 
 

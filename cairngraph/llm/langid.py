@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairngraph.llm.storage import small_batches
 from cairngraph.llm.textbatch import U64, word_slices
 
 FOLDS, HELD_OUT, TRAIN_DOCS, SMOOTHING, FLOOR = 3, 1, 3000, 0.1, 1e-6
-WORD_BYTES, PIECE_BYTES, CACHE_WORDS, MARK = 48, 16, 300_000, b" "
+WORD_BYTES, PIECE_BYTES, CACHE_WORDS, MARK = 48, 16, 200_000, b" "
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -179,7 +180,7 @@ class Scorer:
     def of_texts(self, texts: pa.Array) -> np.ndarray:
         """log P(text | language) of each text; 0 where a text says nothing."""
         out = np.zeros((len(texts), len(self.model.languages)))
-        for i, j, words in word_slices(texts, limit=3 << 19):
+        for i, j, words in word_slices(texts, limit=1 << 19):
             hashes, example, at = np.unique(words.hash, return_index=True, return_inverse=True)
             scores = self.of_words(hashes, example, words)
             for k in range(scores.shape[1]):
@@ -212,6 +213,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAI
             [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["lang", "piece", "n"]
         )
 
+    small_batches(docs.sparkSession)
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     return fit([tuple(r) for r in counted.collect()], vocabulary)
 
@@ -242,7 +244,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(model)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            speaks = np.array([bool(t) and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+            speaks = np.array([t.is_valid and LETTER.search(t.as_py()) is not None for t in texts], bool)
             if not model.languages:
                 best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             else:
@@ -254,6 +256,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(best, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
+    small_batches(docs.sparkSession)
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairngraph.llm.graphs import components
-from cairngraph.llm.storage import stored
+from cairngraph.llm.storage import small_batches, stored
 from cairngraph.llm.textbatch import U64, mix, word_slices
 
 MISS, BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 1e-5, 256, 1 << 18, 4096
@@ -88,6 +88,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                     names=["doc_id", "n_shingles", "k1", "k2", "bands"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
@@ -105,6 +106,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*others.slice(i, j - i).columns, pa.array(parts, pa.binary())], names=[*kept, "set"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, f"{fields}, set binary")
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairngraph.llm.storage import stored
+from cairngraph.llm.storage import small_batches, stored
 
 CAPACITY, END_ID, GAP, MAX_COLUMNS, BUCKET_PIECES, MIN_BUCKETS = 2048, 1, 0.001, 600, 4096, 64
 SPECIAL = {"<|endoftext|>": 50256}
@@ -88,6 +88,7 @@ def cut(docs: DataFrame, ranks: str | None = None, capacity: int = CAPACITY) ->
             columns = list(zip(*rows)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 

@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cairngraph.llm.storage import small_batches
+
 KINDS = ("assign", "access", "hex", "literal")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
@@ -143,6 +145,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 

@@ -35,3 +35,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of text that cross to Python at once.  The defaults (10000 rows, 64 MB or more) let a few
+#: long documents outgrow an executor; texts are worked on in slices of about a megabyte anyway.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch bounds to ``BATCH``; bounds already lower stay."""
+    for name, most in BATCH.items():
+        now = spark.conf.get(name, None)
+        if now is None or not str(now).lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairngraph.llm.fmindex import FMIndex
-from cairngraph.llm.storage import stored
+from cairngraph.llm.storage import small_batches, stored
 from cairngraph.llm.textbatch import U64, Words, mix, word_slices
 
 WINDOW, GRAM, SHARD_WORDS, HOT = 50, 8, 400_000, 2048
@@ -116,6 +116,7 @@ def anchored(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     names=["doc", "tag", "first", "count", "anchor", "h1", "h2"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, "doc long, tag long, first int, count short, anchor long, h1 long, h2 long")
 
 
@@ -139,6 +140,7 @@ def _with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.int16(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc", "anchor", "h1", "h2", "count", "words"])
 
+    small_batches(docs.sparkSession)
     return joined.mapInArrow(run, "doc long, anchor long, h1 long, h2 long, count short, words binary")
 
 
@@ -265,6 +267,7 @@ def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
+    small_batches(docs.sparkSession)
     return joined.mapInArrow(run, f"{fields}, kept string, n_words long, n_removed long")
 
 
