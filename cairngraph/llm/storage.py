@@ -20,20 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-#: With the result in the shared folder, the shuffle files that led to it serve nothing more.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: With the result in the shared folder, the shuffle files that led to it serve nothing more.  Plan texts are
+#: kept by the driver for every job; one that holds a constant table would weigh megabytes each time.
+WHILE_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "100000"}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: a lost executor costs nothing made before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {name: spark.conf.get(name) for name in WHILE_STORING}
     try:
+        for name, value in WHILE_STORING.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
