@@ -82,6 +82,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk": topk.oracle(),
+        "op2_substring": substring.oracle(),
+        "op4_neardup": neardup.oracle(3, 85),
         "op8_mixing": mixing.oracle(),
         "op9_licenses": licenses.oracle(),
         "op10_linededup": linededup.oracle(),

@@ -214,3 +214,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
 
+
+
+def oracle(shingle: int = 5, percent: int = 80) -> str:
+    """The same rows in DuckDB SQL: all shared shingles counted, links followed to a fixpoint."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(generate_series(1, greatest(1, len(w) - {shingle - 1})), lambda i: array_to_string(w[i:i + {shingle - 1}], ' '))) END AS s FROM d),
+item AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+link AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM item a JOIN item b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+sym AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(node, other) AS (SELECT a, a FROM sym UNION SELECT reach.node, sym.b FROM reach JOIN sym ON sym.a = reach.other),
+found AS (SELECT node, min(other) AS c FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sets LEFT JOIN found ON doc_id = node"""

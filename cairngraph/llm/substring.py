@@ -220,7 +220,8 @@ def _by_hash(pieces: DataFrame, window: int) -> DataFrame:
 def removed_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, tag, low, high): words [low, high) to remove; ranges may overlap.  docs: as made by ``_keyed``."""
     every = stored(anchored(docs, window), "pieces")
-    spread = every.groupBy("anchor").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").select("anchor")
+    # Stored, so that the join below has two plain exchanges and a hub's rows can be split.
+    spread = stored(every.groupBy("anchor").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").select("anchor"), "shared-anchors")
     shared = stored(every.join(spread, "anchor"), "shared-pieces")
     classes = stored(shared.groupBy("anchor", "h1", "h2").agg(F.min("doc").alias("least")), "piece-classes")
     known = shared.join(classes, ["anchor", "h1", "h2"])
@@ -274,3 +275,17 @@ def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256)."""
     return strip(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The same rows in DuckDB SQL: every window's words, joined and hashed."""
+    return f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+place AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - {window - 1})) AS i FROM d WHERE len(w) >= {window}),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {window - 1}], ' ')) AS h FROM place),
+earliest AS (SELECT h, min(doc_id) AS f FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM win JOIN earliest USING (h), range({window}) AS t(k) WHERE f < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY pos) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
