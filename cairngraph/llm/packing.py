@@ -165,6 +165,24 @@ def _first_basis(lengths: list[int], demand: dict[int, int], capacity: int) -> t
     return columns, np.array(times)
 
 
+def _inverse(columns: list[Pattern], row: dict[int, int]) -> np.ndarray:
+    """The inverse of the first basis, by elimination: a length last stands in the column that uses it up.
+
+    Element by element, without the linear algebra library, whose threads can block for ever in a driver
+    that has started a JVM.
+    """
+    last = {k: j for j, pattern in enumerate(columns) for k in pattern}
+    used_up = {j: k for k, j in last.items()}
+    work = np.eye(len(columns))
+    for j, pattern in enumerate(columns):
+        pivot = row[used_up[j]]
+        work[pivot] /= pattern[used_up[j]]
+        for k, n in pattern.items():
+            if k != used_up[j]:
+                work[row[k]] -= n * work[pivot]
+    return work[[row[used_up[j]] for j in range(len(columns))]]
+
+
 def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, Pattern]:
     """The pattern of largest value, by an unbounded knapsack over all capacities."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
@@ -196,20 +214,13 @@ def relaxed(demand: dict[int, int], capacity: int, gap: float = GAP, max_columns
     bound = sum(k * v for k, v in demand.items()) / capacity
     columns, x = _first_basis(lengths, demand, capacity)
     if x.sum() > bound * (1 + gap):
-        matrix = np.zeros((len(lengths), len(lengths)))
-        for j, pattern in enumerate(columns):
-            for k, n in pattern.items():
-                matrix[row[k], j] = n
-        inverse = np.linalg.inv(matrix)
+        inverse = _inverse(columns, row)
         for _ in range(max_columns):
             duals = inverse.sum(axis=0)
             value, pattern = price(np.maximum(duals, 0), sizes, capacity)
             if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
                 break
-            entering = np.zeros(len(lengths))
-            for k, n in pattern.items():
-                entering[row[k]] = n
-            direction = inverse @ entering
+            direction = sum(n * inverse[:, row[k]] for k, n in pattern.items())
             grows = direction > 1e-9
             if not grows.any():
                 break
