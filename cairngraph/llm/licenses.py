@@ -1,8 +1,8 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences, twice: once with every line end as a sentence end
-(licence lines in code or prose) and once with single line ends as spaces (wrapped
-licence texts).  A normalised sentence that is known stands for an identifier; the
+Texts are read in two ways at once: with single line ends as spaces (wrapped
+licence texts) and, where such a sentence is not known, with every line end as a
+sentence end (licence lines in code or prose).  A normalised sentence that is known stands for an identifier; the
 identifiers of a document, in order, are matched against ordered rules.  A rule
 holds where its identifiers occur one after another, with no other known sentence
 between; a longer rule hides the shorter ones it contains.
@@ -148,18 +148,22 @@ def _known() -> Column:
     return F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
 
 
-def sentence_ids(text: Column, wrapped: bool) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+def sentence_ids(text: Column) -> Column:
+    """Identifiers of the known sentences of a text in both readings, in order.
+
+    A wrapped unit ends only where a line unit ends too; one that is not known gives the known among its lines.
+    """
     plain = F.translate(text, UPPER, LOWER)
-    # Sentence ends become the only line ends, every other run a space; then one split.
-    if wrapped:
-        plain = F.regexp_replace(plain, r"\n[ \t\r]*\n", "\x01")
-        marked = F.regexp_replace(plain, r"[.!?;:][ \t\r\n]+", "\x01")
-    else:
-        marked = F.regexp_replace(plain, r"[.!?;:][ \t\r\n]+|\n", "\x01")
-    clean = F.regexp_replace(marked, r"[^a-z0-9\x01]+", " ")
-    units = F.split(clean, "\x01")
-    return F.array_compact(F.transform(units, lambda s: F.try_element_at(_known(), F.trim(s))))
+    # Ends of wrapped units become \x01, the other line ends \x02, every other run a space.
+    plain = F.regexp_replace(plain, r"\n[ \t\r]*\n", "\x01")
+    marked = F.translate(F.regexp_replace(plain, r"[.!?;:][ \t\r\n]+", "\x01"), "\n", "\x02")
+    units = F.split(F.regexp_replace(marked, r"[^a-z0-9\x01\x02]+", " "), "\x01")
+    known = lambda s: F.try_element_at(_known(), F.trim(s))
+    by_line = lambda u: F.transform(F.split(u, "\x02"), known)
+    wrapped = lambda u: F.array(known(F.regexp_replace(u, r"[ \x02]+", " ")))
+    both = lambda u: F.flatten(F.transform(wrapped(u), lambda w: F.when(w.isNull(), by_line(u)).otherwise(F.array(w))))
+    found = F.transform(units, lambda u: F.when(F.contains(u, F.lit("\x02")), both(u)).otherwise(F.array(known(u))))
+    return F.array_compact(F.flatten(found))
 
 
 def spdx_rules(text: Column) -> Column:
@@ -176,8 +180,7 @@ def _sequence(ids: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_known, sentence_ids, rules, licenses, categories), lists joined by commas, in one row per document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", sentence_ids(text, False).alias("by_line"), sentence_ids(text, True).alias("by_wrap"), spdx_rules(text).alias("spdx"))
-    found = found.withColumn("ids", F.when(F.size("by_wrap") > F.size("by_line"), F.col("by_wrap")).otherwise(F.col("by_line")))
+    found = docs.select("doc_id", sentence_ids(text).alias("ids"), spdx_rules(text).alias("spdx"))
     found = found.withColumn("sequence", _sequence(F.col("ids")))
     hits: list[Column] = []
     rest = F.col("sequence")
@@ -202,7 +205,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same rows in DuckDB SQL, for texts without SPDX lines."""
+    """The same rows in DuckDB SQL, for texts without SPDX lines whose known sentences are all found in one reading."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({q(s)}, {q(n)})" for n, s in SENTENCES.items())
     rules = ", ".join(f"({i}, {q(r)}, {q(n)}, {q(k)}, {q('|' + '|'.join(ids) + '|')}, {len(ids)})" for i, (r, n, k, ids) in enumerate(RULES))

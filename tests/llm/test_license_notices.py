@@ -67,7 +67,7 @@ def commented(text: str) -> str:
 #: (text, its only rule or None for any, licence)
 CASES = [
     (APACHE, "apache-header", "Apache-2.0"),
-    (commented(APACHE.split("\n\n", 1)[1]), None, "Apache-2.0"),
+    (commented(APACHE.split("\n\n", 1)[1]), "apache-comment", "Apache-2.0"),
     (commented(APACHE.split("\n\n", 1)[1]).replace("http:", "https:"), None, "Apache-2.0"),
     (ASF, "apache-asf", "Apache-2.0"),
     (GPL3, "gpl3-header", "GPL-3.0-or-later"),
@@ -101,3 +101,24 @@ def test_official_notices(found, case):
 def test_known_sentences_are_units():
     assert len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES)
     assert {i for *_, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES)
+
+
+def test_both_readings_count(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+    line = "Licensed under CC0 1.0\nint x = 1\n"
+    rows = [(1, line + "\n" + mit), (2, mit + "\n" + line * 5), (3, "# Copyright 2020 Some Body\n#\n" + commented(APACHE.split("\n\n", 1)[1]))]
+    got = {r.doc_id: (r.rules, r.licenses, r.n_known) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("mit-full,cc0", "CC0-1.0,MIT", 4) and got[2] == ("mit-full,cc0", "CC0-1.0,MIT", 8)
+    assert got[3][:2] == ("apache-comment", "Apache-2.0")
