@@ -4,7 +4,8 @@ The lexer reads name-literal pairs from source and configuration syntax
 (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
 ``export NAME=x``), propagates constants through assignments whose right side is
 a known name or a ``+`` chain of names and literals, and scores each literal by
-the names it finally reaches and by its own shape.  A literal under no sensitive
+the names it finally reaches and by its own shape or that of the whole value its
+chain builds.  A literal under no sensitive
 name is left alone.
 
 Defined cases: null and empty texts hold no spans; offsets count code points, the
@@ -17,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,15 +40,17 @@ _CUES = ("passw", "secret", "token", "api")
 
 #: name, operator, right side up to the end of the statement.
 STATEMENT = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)(?:\[["']?(?P<key>[A-Za-z0-9_\-]+)["']?\])?\x20*(?::=|=>|:(?!//)|=(?!=))\x20*(?P<right>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s,;"'{}()\[\]]+)(?P<rest>(?:\x20*\+\x20*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_.]*))*)"""
+    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)(?:\[["']?(?P<key>[A-Za-z0-9_\-]+)["']?\])?[\x20\t]*(?::=|=>|:(?!//)|=(?!=))[\x20\t]*(?P<right>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_.]*(?=(?:[\x20\t]*\+[\x20\t]*[A-Za-z_][A-Za-z0-9_.]*)*[\x20\t]*\+[\x20\t]*["'])|[^\s,;"'{}()\[\]]+)(?P<rest>(?:[\x20\t]*\+[\x20\t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_.]*))*)"""
 )
-TERM = re.compile(r""""[^"\n]*"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_.]*""")
+TERM = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_.]*""")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weight of a name's word; pairs of words count where neither says enough alone.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 0.9, "token": 0.8, "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "privatekey": 1.0, "accesskey": 1.0, "authkey": 1.0, "auth": 0.5, "signature": 0.4}
 PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("auth", "key"): 1.0, ("encryption", "key"): 1.0, ("signing", "key"): 1.0, ("account", "key"): 0.9, ("connection", "string"): 0.8}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example.*|your[_-].*|<.*>|\$\{.*\}|none|null|true|false|todo|test|dummy)$")
 THRESHOLD, MIN_LENGTH = 0.6, 8
+#: A chain's value is scored by that many characters at most (doubled names grow without bound); its literals are all found.
+SCORED = 4096
 
 
 def name_score(name: str) -> float:
@@ -64,47 +69,106 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.5 * min(entropy / 3.5, 1) + 0.2 * min(n / 20, 1) + 0.15 * (classes - 1))
 
 
-def assignments(text: str) -> list[tuple[str, int, int, str, list[str]]]:
-    """(target name, start, end, value, names it takes its value from) of each assignment."""
+class Term(NamedTuple):
+    """A literal (quotes left out) or a name of the right side of an assignment."""
+
+    start: int
+    end: int
+    value: str
+    is_name: bool
+
+
+def assignments(text: str) -> list[tuple[str, list[Term]]]:
+    """(target name, terms of its right side) of each assignment."""
     found = []
     for m in STATEMENT.finditer(text):
-        right, start, end = m["right"], m.start("right"), m.end("right")
         target = f"{m['name']}.{m['key']}" if m["key"] else m["name"]
-        sources: list[str] = []
-        if right[0] in "\"'" and len(right) > 1:
-            start, end, value = start + 1, end - 1, right[1:-1]
-        elif re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", right):
-            sources, value = [right], right
-        else:
-            value = right
-        sources += [t for t in TERM.findall(m["rest"] or "") if t[0] not in "\"'"]
-        found.append((target, start, end, value, sources))
+        places = [m.span("right"), *(t.span() for t in TERM.finditer(text, *m.span("rest")))]
+        terms = []
+        for start, end in places:
+            quoted = text[start] in "\"'" and end - start > 1
+            start, end = (start + 1, end - 1) if quoted else (start, end)
+            value = text[start:end]
+            terms.append(Term(start, end, value, not quoted and re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", value) is not None))
+        found.append((target, terms))
     return found
 
 
+def _origins(found: list[tuple[str, list[Term]]], feeds: dict[str, list[int]]) -> list[list[int | None]]:
+    """For each term of each assignment, the assignment a name takes its constant from: the last before, else the next."""
+    origins: list[list[int | None]] = []
+    for i, (_, terms) in enumerate(found):
+        row: list[int | None] = []
+        for t in terms:
+            places = feeds.get(t.value, []) if t.is_name else []
+            k = bisect_left(places, i)
+            later = k + (k < len(places) and places[k] == i)
+            row.append(places[k - 1] if k else places[later] if later < len(places) else None)
+        origins.append(row)
+    return origins
+
+
+def _constant(i: int, found: list[tuple[str, list[Term]]], origins: list[list[int | None]], memo: dict[int, str]) -> str:
+    """The value of assignment i, names replaced by their constants (up to ``SCORED`` characters; names in a circle are empty)."""
+    stack, opened = [i], set()
+    while stack:
+        j = stack[-1]
+        todo = [o for o in origins[j] if o is not None and o not in memo and o not in opened] if j not in memo and j not in opened else []
+        if todo:
+            opened.add(j)
+            stack += todo
+            continue
+        stack.pop()
+        if j not in memo:
+            parts = [memo.get(o, "") if o is not None else "" if t.is_name else t.value for t, o in zip(found[j][1], origins[j])]
+            memo[j] = "".join(parts)[:SCORED] if len(parts) > 1 else parts[0]
+    return memo[i]
+
+
 def lexed(text: str) -> list[tuple[str, int, int]]:
-    """Literal spans whose own or propagated target name is sensitive enough."""
+    """Literal spans whose own or propagated target name is sensitive enough.
+
+    A literal is scored alone and, in a chain, by the whole value it is a part of; all literals of a value that
+    scores are found, those of the names in it too.
+    """
     if "=" not in text and ":" not in text:
         return []
     found = assignments(text)
     feeds: dict[str, list[int]] = {}  # name -> assignments that define it
-    for i, (target, *_rest) in enumerate(found):
+    for i, (target, _) in enumerate(found):
         feeds.setdefault(target, []).append(i)
-    score = [name_score(target) for target, *_ in found]
+    score = [name_score(target) for target, _ in found]
     order = [i for i in range(len(found)) if score[i] > 0]
     while order:  # a sensitive target hands its score to what it was assigned from
         i = order.pop()
-        for source in found[i][4]:
-            for j in feeds.get(source, ()):
+        for t in found[i][1]:
+            for j in feeds.get(t.value, ()) if t.is_name else ():
                 if score[j] < score[i]:
                     score[j] = score[i]
                     order.append(j)
-    spans = []
-    for (target, start, end, value, sources), s in zip(found, score):
-        known = sources and sources[0] in feeds and value == sources[0]
-        if s > 0 and not known and s * literal_score(value) >= THRESHOLD * 0.8:
-            spans.append(("literal", start, end))
-    return spans
+    spans: set[tuple[str, int, int]] = set()
+    origins: list[list[int | None]] = []
+    memo: dict[int, str] = {}
+    emitted: set[int] = set()
+    for i, ((_, terms), s) in enumerate(zip(found, score)):
+        if s <= 0:
+            continue
+        for n, t in enumerate(terms):
+            # an unquoted first term that no assignment defines is a literal too
+            if (not t.is_name or (n == 0 and t.value not in feeds)) and s * literal_score(t.value) >= THRESHOLD * 0.8:
+                spans.add(("literal", t.start, t.end))
+        if len(terms) == 1:
+            continue
+        origins = origins or _origins(found, feeds)
+        if s * literal_score(_constant(i, found, origins, memo)) >= THRESHOLD * 0.8:
+            reached = [i]
+            while reached:
+                j = reached.pop()
+                if j not in emitted:
+                    emitted.add(j)
+                    spans |= {("literal", t.start, t.end) for t in found[j][1] if not t.is_name and t.end > t.start}
+                    reached += [o for o in origins[j] if o is not None]
+    return list(spans)
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
