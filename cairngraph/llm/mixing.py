@@ -193,7 +193,9 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return (
         plan(docs, slots)
         .groupBy("rank", "start", "doc_id", "size", "source_size", "target")
-        .agg(F.sum("n_words").alias("taken"))
+        .agg(F.sum("n_words").alias("taken"), F.count("*").alias("n"))
+        # Documents of size 0 do not advance start, and have one piece each: repeated ones share a group.
+        .withColumn("nth", F.explode(F.expr("sequence(1L, if(size = 0, n, 1L))")))
         .select("doc_id", "size", "source_size", "target", "taken")
     )
 
