@@ -48,9 +48,8 @@ def window_removal(docs, window=50):
     return out
 
 
-def phrases(line):
-    text = line.strip(" \t\n\x0b\x0c\r").lower()
-    return frozenset(x for x in re.split(r"(?<=[nst0-9!-/:-@\[-`{-~])[\x20\x09-\x0D]+", text) if x)
+def words_of(line):
+    return frozenset(WORDS.findall(line.lower()))
 
 
 def line_removal(docs):
@@ -58,7 +57,7 @@ def line_removal(docs):
     lines = [(d, i, x) for d, t in sorted(docs) if t is not None for i, x in enumerate(t.split("\n"))]
     seen, kept = [], {d: [] for d, _ in docs}
     for d, i, x in lines:
-        p = phrases(x)
+        p = words_of(x)
         hit = p and any(p == q or 10 * len(p & q) >= 8 * len(p | q) for q in seen)
         if p:
             seen.append(p)

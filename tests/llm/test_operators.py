@@ -358,21 +358,34 @@ def test_license_rules(spark, nothing):
 # --- 10 ---
 
 
-def test_line_dedup_equals_brute_force(spark):
-    base = [sentence(random.randint(8, 60)) for _ in range(15)]
+@pytest.fixture(scope="module")
+def line_rows():
+    base = [sentence(random.randint(5, 60)) for _ in range(15)]
     rows = []
-    for d in range(30):
+    for d in range(40):
         lines = [random.choice([random.choice(base), edited(random.choice(base), random.randint(1, 6)), sentence(4), "", "the end", " \t"]) for _ in range(random.randint(1, 7))]
         rows.append((d, "\n".join(lines)))
-    rows += [(40, None), (41, ""), (42, "\n\n"), (43, base[0] + " " + base[1]), (44, " ".join(base * 60))]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"doc": F.lit(1), "line": F.lit("x"), "k1": F.lit(2), "kept": F.lit(3)}).repartition(3)
+    rows += [(50, None), (51, ""), (52, "\n\n"), (53, base[0] + " " + base[1]), (54, " ".join(base * 60)), (55, "a  b\tc d e"), (56, "A b c d\r\nf a b c d e")]
+    return rows
+
+
+@pytest.mark.parametrize("hot,levels,passes", [(linededup.HOT, 3, 4), (2, 3, 1), (2, 2, 2), (1, 4, 1)])
+def test_line_dedup_equals_brute_force(spark, line_rows, monkeypatch, hot, levels, passes):
+    for name, value in (("HOT", hot), ("LEVELS", levels), ("PASSES", passes), ("SALTS", 2 if hot < 9 else 8)):
+        monkeypatch.setattr(linededup, name, value)
+    df = spark.createDataFrame(line_rows, "doc_id long, text string").withColumns({"doc": F.lit(1), "line": F.lit("x"), "k1": F.lit(2), "kept": F.lit(3)}).repartition(3)
     got = {r.doc_id: r.text for r in linededup.dedupe(df).collect()}
-    assert got == brute.line_removal(rows)
+    want = brute.line_removal(line_rows)
+    assert got == want
+    # a line of eleven words with one changed is found (10 / 12), one of eight is not (7 / 9)
+    words = [f"w{i}x" for i in range(11)]
+    two = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["new", *words[1:]])), (3, " ".join(["new", "other", *words[2:8]]))], "doc_id long, text string")
+    assert [r.n_removed for r in linededup.digest(two).orderBy("doc_id").collect()] == [0, 1, 0]
 
 
 def test_line_dedup_of_repeated_rows_and_nothing(spark, nothing):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "A  b\nc")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.text) for r in linededup.dedupe(df).collect()) == [(1, "a b"), (1, "a b"), (2, "A  b\nc")]
+    assert sorted((r.doc_id, r.text) for r in linededup.dedupe(df).collect()) == [(1, "a b"), (1, "a b"), (2, "c")]
     assert linededup.dedupe(nothing).count() == 0
 
 
