@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+#: Folders written since each call of ``concluded`` that is still open, innermost last; the first are the results'.
+_MADE: list[list[str]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="cairngraph-"))
     return _OWN[0]
@@ -29,6 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: a lost executor costs nothing made before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE[-1].append(path)
     before = {name: spark.conf.get(name) for name in WHILE_STORING}
     try:
         for name, value in WHILE_STORING.items():
@@ -40,6 +46,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def concluded(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Store what ``build`` returns, then delete all that was stored on the way to it."""
+    _MADE.append([])
+    try:
+        result = build()
+        inner = _MADE[-1]
+        _MADE[-1] = _MADE[-2]  # the result belongs to who called
+        try:
+            return stored(result, name)
+        finally:
+            _MADE[-1] = inner
+    finally:
+        _remove(spark, _MADE.pop())
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every folder that results of this session still read from; those results can't be read any more."""
+    _remove(spark, _MADE[0])
+    _MADE[0].clear()
+
+
 #: Rows and bytes of text that cross to Python at once.  The defaults (10000 rows, 64 MB or more) let a few
 #: long documents outgrow an executor; texts are worked on in slices of about a megabyte anyway.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
