@@ -4,13 +4,17 @@
    one end id and cut at multiples of the sequence length; the pieces (span,
    checksum) go to the shared folder.  Only remainders need packing: a piece that
    fills a sequence is a pattern of its own.
-2. The histogram of piece lengths, at most ``capacity`` numbers, goes to the
-   driver.  A minimum-slack pass gives a first set of patterns and a first basis;
-   a revised simplex then solves the linear program over patterns, new columns
-   being priced by a knapsack dynamic program over the duals.  It stops where no
-   column prices out, or within ``GAP`` of the bound (tokens / capacity).
-   Activities are rounded down, and the pieces left over are packed by the
-   minimum-slack pass; the better of this and the first pass stands.
+2. The histogram of piece lengths, at most ``capacity`` numbers, goes to the driver.
+   A revised simplex solves the covering program over patterns.  Its first basis are
+   the fullest patterns around the longest piece left, which is what the knapsack
+   gives at the duals length / capacity; from there on, a knapsack dynamic program
+   prices new columns at duals smoothed towards the best ones so far.  Each pricing
+   also proves a lower bound (the duals' value over the price), and the loop ends
+   only where no column prices out or the program's value is proved to be within
+   ``GAP`` of all or ``SEQUENCES`` sequences of its optimum.
+   Activities are rounded down, whole patterns of the largest fractions are taken
+   once more, and the program of what is left is solved and rounded in turn; pieces
+   of which no pattern fits any more close the last sequences, as full as can be.
 3. Patterns become ranges of ranks within each length.  Pieces are ranked by
    hashed buckets and within them, so a length held by a third of all pieces is
    spread, and one join by length against the table of ranges (bounded by the
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 
 from cairngraph.llm.storage import small_batches, stored
 
-CAPACITY, END_ID, GAP, MAX_COLUMNS, BUCKET_PIECES, MIN_BUCKETS = 2048, 1, 0.001, 600, 4096, 64
+CAPACITY, END_ID, GAP, SEQUENCES, SMOOTHING, BUCKET_PIECES, MIN_BUCKETS = 2048, 1, 1e-5, 0.1, 0.8, 4096, 64
 SPECIAL = {"<|endoftext|>": 50256}
 Pattern = dict[int, int]
 
@@ -206,54 +210,117 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), pattern
 
 
-def relaxed(demand: dict[int, int], capacity: int, gap: float = GAP, max_columns: int = MAX_COLUMNS) -> tuple[list[tuple[Pattern, float]], float]:
-    """Column generation: ((pattern, activity), ...) of the linear program, and its value."""
-    lengths = sorted(demand)
-    row = {k: i for i, k in enumerate(lengths)}
-    sizes = np.array(lengths)
-    bound = sum(k * v for k, v in demand.items()) / capacity
-    columns, x = _first_basis(lengths, demand, capacity)
-    if x.sum() > bound * (1 + gap):
-        inverse = _inverse(columns, row)
-        for _ in range(max_columns):
-            duals = inverse.sum(axis=0)
-            value, pattern = price(np.maximum(duals, 0), sizes, capacity)
-            if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
+class Master:
+    """The restricted master program: a basis of patterns and surplus columns, its inverse, duals and activities."""
+
+    def __init__(self, demand: dict[int, int], capacity: int) -> None:
+        self.lengths = sorted(demand)
+        self.row = {k: i for i, k in enumerate(self.lengths)}
+        # Demands a little apart from each other, so that few bases are degenerate; real ones bound the rounding.
+        apart = 1 + 1e-5 * np.random.default_rng(0).random(len(self.lengths))
+        self.demand = np.array([demand[k] for k in self.lengths]) * apart
+        self.columns, _ = _first_basis(self.lengths, dict(zip(self.lengths, self.demand.tolist())), capacity)
+        self.inverse = _inverse(self.columns, self.row)
+        self.cost = np.ones(len(self.columns))
+        self.renew()
+
+    def renew(self) -> None:
+        """Activities and duals from the inverse; sums, as products would enter the threaded library."""
+        self.x = np.maximum((self.inverse * self.demand).sum(axis=1), 0)
+        self.duals = (self.inverse * self.cost[:, None]).sum(axis=0)
+
+    def value(self) -> float:
+        return float((self.cost * self.x).sum())
+
+    def worth(self, pattern: Pattern) -> float:
+        return sum(n * self.duals[self.row[k]] for k, n in pattern.items())
+
+    def enter(self, pattern: Pattern, cost: float) -> bool:
+        """Pivot a column in; False if nothing limits it."""
+        direction = sum(n * self.inverse[:, self.row[k]] for k, n in pattern.items())
+        grows = direction > 1e-7
+        if not grows.any():
+            return False
+        ratio = np.where(grows, self.x / np.where(grows, direction, 1), np.inf)
+        least = ratio.min()
+        ties = np.flatnonzero(ratio <= least * (1 + 1e-7) + 1e-9)
+        leaving = int(ties[direction[ties].argmax()])  # the largest pivot, for accuracy
+        step = ratio[leaving]
+        gain = cost - self.worth(pattern)
+        self.x = np.maximum(self.x - step * direction, 0)
+        self.x[leaving] = step
+        self.columns[leaving], self.cost[leaving] = pattern, cost
+        pivot = self.inverse[leaving] / direction[leaving]
+        self.inverse -= np.outer(direction, pivot)
+        self.inverse[leaving] = pivot
+        self.duals = self.duals + gain * pivot
+        return True
+
+
+def relaxed(demand: dict[int, int], capacity: int, gap: float = GAP, sequences: float = SEQUENCES) -> tuple[list[tuple[Pattern, float]], float, float]:
+    """Column generation: ((pattern, activity), ...) of the linear program, its value and the proved lower bound."""
+    master = Master(demand, capacity)
+    sizes = np.array(master.lengths)
+    centre = sizes / capacity  # the best duals known: feasible, and their value is a bound
+    bound = float((master.demand * centre).sum())
+    smoothing, steps = SMOOTHING, 0
+    while True:
+        duals = master.duals
+        if master.value() - bound <= max(gap * bound, sequences):
+            value, _ = price(centre, sizes, capacity)  # the proof, by what no pattern surpasses
+            bound = min(bound, bound / value)
+            if master.value() - bound <= max(gap * bound, sequences):
                 break
-            direction = sum(n * inverse[:, row[k]] for k, n in pattern.items())
-            grows = direction > 1e-9
-            if not grows.any():
-                break
-            ratio = np.where(grows, x / np.where(grows, direction, 1), np.inf)
-            leaving = int(ratio.argmin())
-            step = ratio[leaving]
-            x = np.maximum(x - step * direction, 0)
-            x[leaving] = step
-            columns[leaving] = pattern
-            pivot = inverse[leaving] / direction[leaving]
-            inverse -= np.outer(direction, pivot)
-            inverse[leaving] = pivot
-    return list(zip(columns, x.tolist())), float(x.sum())
+        low = int(duals.argmin())
+        if duals[low] < -1e-9:  # more of a length than asked for is no harm
+            done = not master.enter({master.lengths[low]: -1}, 0.0)
+        else:
+            asked = smoothing * centre + (1 - smoothing) * np.maximum(duals, 0)
+            value, pattern = price(asked, sizes, capacity)
+            proved = float((master.demand * asked).sum()) / value
+            if proved > bound:
+                bound, centre = proved, asked / value
+            if master.worth(pattern) <= 1 + 1e-9:  # not at the duals themselves: smooth less
+                done = smoothing == 0
+                smoothing = smoothing / 2 if smoothing > 0.1 else 0.0
+            else:
+                done, smoothing = not master.enter(pattern, 1.0), SMOOTHING
+        steps += 1
+        if steps % 100 == 0:
+            master.renew()
+        if done:
+            break
+    active = [(p, float(x)) for p, x, c in zip(master.columns, master.x, master.cost) if c > 0 and x > 0]
+    return active, master.value(), bound
 
 
 def solve(demand: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """Patterns and times that use every piece of the histogram exactly once."""
-    full = [({capacity: 1}, demand[capacity])] if demand.get(capacity) else []
-    rest = {k: v for k, v in demand.items() if 0 < k < capacity and v > 0}
-    if not rest:
-        return full
-    first = least_slack(rest, capacity)
-    active, _ = relaxed(rest, capacity)
-    left = dict(rest)
-    rounded: list[tuple[Pattern, int]] = []
-    for pattern, activity in sorted(active, key=lambda a: -a[1]):
-        times = min(int(activity + 1e-6), *(left[k] // n for k, n in pattern.items()))
-        if times > 0:
-            rounded.append((pattern, times))
-            for k, n in pattern.items():
-                left[k] -= n * times
-    rounded += least_slack(left, capacity)
-    return full + min(first, rounded, key=lambda p: padding(p, capacity))
+    out = [({capacity: 1}, demand[capacity])] if demand.get(capacity) else []
+    left = {k: v for k, v in demand.items() if 0 < k < capacity and v > 0}
+    sequences = SEQUENCES
+    while left:
+        active, _, _ = relaxed(left, capacity, sequences=sequences)
+        sequences = 0.5  # what is left is rounded by more than that
+        taken = 0
+        for pattern, activity in sorted(active, key=lambda a: -a[1]):
+            times = min(int(activity + 1e-4), *(left[k] // n for k, n in pattern.items()))
+            taken += _take(out, left, pattern, times)
+        for pattern, _ in sorted(active, key=lambda a: a[1] % 1, reverse=True):
+            if all(left.get(k, 0) >= n for k, n in pattern.items()):
+                taken += _take(out, left, pattern, 1)
+        left = {k: v for k, v in left.items() if v > 0}
+        if not taken:
+            break
+    return out + least_slack(left, capacity)
+
+
+def _take(out: list[tuple[Pattern, int]], left: dict[int, int], pattern: Pattern, times: int) -> int:
+    if times > 0:
+        out.append((pattern, times))
+        for k, n in pattern.items():
+            left[k] -= n * times
+    return max(0, times)
 
 
 def padding(patterns: list[tuple[Pattern, int]], capacity: int = CAPACITY) -> int:

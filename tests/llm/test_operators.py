@@ -192,13 +192,26 @@ def test_components(spark):
 # --- 5 ---
 
 
+def odd_texts():
+    """Special tokens, long runs, surrogate-free odd Unicode and random mixtures."""
+    rng = random.Random(11)
+    parts = ["<|endoftext|>", "<|endoftext|", " ", "  ", "\n", "\r\n", "\t", "'s", "'LL", "é", "e\u0301", "ß", "日本", "\u200d", "👩\u200d💻", "\ufeff", "\x00", "\u00a0", "\u2028", "١٢", "½", "a" * 300, "9" * 40, "!?" * 30, "\U0010ffff", "ǅ", "word", "Word's"]
+    return [""] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(400)] + ["a" * 50_000, " " * 5_000, "\n" * 5_000, "é" * 3_000, sentence(2_000)]
+
+
 def test_tokens_equal_the_tokenizers_library():
+    """On all documents at hand and on odd texts."""
     import public_tokenizers
+    import pyarrow.parquet as pq
     from tokenizers import Tokenizer
 
-    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in ["", "Hello  world!\n\n it's\tñandú 12345 日本語 🙂 ", sentence(300), "a" * 3000, "x<|endoftext|>y", "   z"]:
-        assert packing.token_ids(text, packing.default_ranks()).tolist() == [*reference.encode(text, add_special_tokens=False).ids, 1]
+    reference, ranks = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.default_ranks()
+    texts = odd_texts()
+    for sf in ("sf0.1", "sf0.001"):
+        if os.path.exists(path := f"/root/testdata/{sf}/documents.parquet"):
+            texts += [t or "" for t in pq.read_table(path).column("text").to_pylist()]
+    for text in texts:
+        assert packing.token_ids(text, ranks).tolist() == [*reference.encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_packing_is_a_partition(corpus, pairs):
@@ -243,11 +256,49 @@ def test_cutting_stock_uses_every_piece(seed):
     assert sum(t for _, t in patterns) >= tokens / packing.CAPACITY
 
 
-def test_column_generation_improves_on_its_start():
-    demand = {683: 300, 1025: 100, 900: 50, 500: 77}
-    columns, x = packing._first_basis(sorted(demand), demand, 2048)
-    _, value = packing.relaxed(demand, 2048, gap=0.0)
-    assert sum(k * v for k, v in demand.items()) / 2048 <= value + 1e-6 <= x.sum() + 1e-6
+def brute_patterns(lengths, capacity):
+    """Every pattern of a small problem."""
+    found = [{}]
+    for k in lengths:
+        found = [{**p, k: n} if n else p for p in found for n in range((capacity - sum(a * b for a, b in p.items())) // k + 1)]
+    return [p for p in found if p]
+
+
+@pytest.mark.parametrize("demand", [{683: 300, 1025: 100, 900: 50, 500: 77}, {1100: 30, 950: 41, 700: 9}, {2047: 3}, {1: 5, 2047: 2}, {700: 3, 701: 3, 702: 1}])
+def test_column_generation_proves_its_value(demand):
+    active, value, bound = packing.relaxed(demand, 2048, gap=0.0, sequences=1e-6)
+    for k, n in demand.items():  # every piece has a place
+        assert sum(x * p.get(k, 0) for p, x in active) >= n - 1e-3
+    assert bound <= value + 1e-6 and value - bound < 0.05
+    # the bound is one: its proof is that no pattern is worth more than 1 at some duals, so no cover is smaller
+    patterns = brute_patterns([k for k in demand if k > 100], 2048)
+    lengths = [k for k in demand if k > 100]
+    most = max(sum(p.get(k, 0) * k for k in lengths) for p in patterns)
+    assert value >= sum(k * demand[k] for k in lengths) / most - 1e-3
+
+
+def test_pricing_equals_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(5):
+        lengths = np.sort(rng.choice(np.arange(250, 900), 5, replace=False))
+        values = rng.random(5)
+        best = max(sum(n * values[list(lengths).index(k)] for k, n in p.items()) for p in brute_patterns(lengths.tolist(), 2048))
+        value, pattern = packing.price(values, lengths, 2048)
+        assert abs(value - best) < 1e-9 and sum(k * n for k, n in pattern.items()) <= 2048
+
+
+def test_pricing_runs_and_decides(monkeypatch):
+    """On a real histogram the program is solved by priced columns, and the number of sequences is the least there can be."""
+    rng = random.Random(3)
+    demand = {}
+    for _ in range(400):
+        n = rng.choice([rng.randint(1, 2047), rng.randint(600, 1100)])
+        demand[n] = demand.get(n, 0) + 1
+    calls, real = [], packing.price
+    monkeypatch.setattr(packing, "price", lambda *a: calls.append(1) or real(*a))
+    used = sum(t for _, t in packing.solve(demand))
+    _, _, bound = packing.relaxed(demand, 2048)
+    assert len(calls) > 10 and used <= np.ceil(bound) + 2
 
 
 # --- 6 ---
