@@ -6,16 +6,19 @@ forward algorithm; a text's is the product over its words, and its prediction th
 language of largest posterior under equal priors.
 
 Training reads a bounded sample, at most about ``TRAIN_DOCS`` documents a language
-(by hash of doc_id), counts pieces in the vocabulary's own segmentation, smooths
-them and brings one number per (language, piece seen) to the driver, so the model
-is bounded by languages * vocabulary.  Prediction reads whole texts.  Words are
-scored once a batch, and a bounded cache keeps the common ones between batches.
+(by hash of doc_id).  Pieces are first counted in the vocabulary's own segmentation
+and then, ``ROUNDS`` times, by their expected number over all segmentations under
+the model so far (forward and backward).  One number per (language, piece seen)
+comes to the driver, so the model is bounded by languages * vocabulary.  Prediction
+reads whole texts.  Words are scored once a batch, and a bounded cache keeps the
+common ones between batches.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so
 is every text where no language could be learned; ties go to the first language in
-code-point order; words without letters say nothing; words of more than
-``WORD_BYTES`` bytes are scored in parts; rows with a null doc_id are neither
-learned from nor held out.
+code-point order; words without letters say nothing; words of any length are summed
+whole; rows with a null doc_id are neither learned from nor held out; columns named
+lang_pred or score give way to the results; more than ``MAX_LANGUAGES`` values of
+lang raise an error.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ from pyspark.sql import functions as F
 from cairngraph.llm.storage import small_batches
 from cairngraph.llm.textbatch import U64, word_slices
 
-FOLDS, HELD_OUT, TRAIN_DOCS, SMOOTHING, FLOOR = 3, 1, 3000, 0.1, 1e-6
-WORD_BYTES, PIECE_BYTES, CACHE_WORDS, MARK = 48, 16, 200_000, b" "
+FOLDS, HELD_OUT, TRAIN_DOCS, ROUNDS, SMOOTHING, FLOOR, MAX_LANGUAGES = 3, 1, 3000, 1, 0.1, 1e-6, 10_000
+#: Words up to TOGETHER bytes are summed many at once, longer ones one by one; the sums are the same.
+TOGETHER, RESCALE, CELLS, CACHE_WORDS, MARK = 64, 16, 1 << 20, 200_000, b" "
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -94,30 +98,45 @@ class Model:
             self._trie = table, piece
         return self._trie
 
+    @property
+    def longest(self) -> int:
+        """Bytes of the longest piece."""
+        return max(map(len, self.pieces), default=0)
+
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """log P(word | language), summed over segmentations; one row a word of at most WORD_BYTES + 1 bytes."""
-        n, k = len(words), len(self.languages)
+        """log P(word | language), summed over all segmentations; one row a word."""
+        out = np.empty((len(words), len(self.languages)))
+        short = [i for i, w in enumerate(words) if len(w) <= TOGETHER]
+        if short:
+            out[short] = self._together([words[i] for i in short])
+        for i, w in enumerate(words):
+            if len(w) > TOGETHER:
+                out[i] = self._alone(w)
+        return out
+
+    def _together(self, words: list[bytes]) -> np.ndarray:
+        n, k, reach = len(words), len(self.languages), self.longest
         table, piece_of = self.trie()
         length = np.array([len(w) for w in words])
         order = np.argsort(-length, kind="stable")  # longest first: those still open are always a prefix
         longest = int(length.max(initial=0))
-        text = np.zeros((n, longest + PIECE_BYTES), np.uint8)
+        text = np.zeros((n, longest + reach), np.uint8)
         for row, i in enumerate(order):
             text[row, : length[i]] = np.frombuffer(words[i], np.uint8)
         length = length[order]
         open_at = np.searchsorted(-length, -np.arange(longest + 1), side="left")  # words longer than t
-        ring = np.zeros((PIECE_BYTES + 1, n, k))
+        ring = np.zeros((reach + 1, n, k))
         ring[0] = 1.0
-        total = np.zeros((n, k))
+        scale, total = np.zeros((n, k)), np.zeros((n, k))
         for t in range(longest + 1):
-            at = ring[t % (PIECE_BYTES + 1)]
+            at = ring[t % (reach + 1)]
             ended = slice(int(open_at[t]), int(open_at[t - 1]) if t else n)
-            total[ended] = at[ended]
+            total[ended] = np.log(at[ended]) + scale[ended]
             m = int(open_at[t])
             if m == 0:
                 break
             rows, state = np.arange(m), np.ones(m, np.int32)
-            for size in range(1, PIECE_BYTES + 1):
+            for size in range(1, reach + 1):
                 state = table[state, text[rows, t + size - 1]]
                 alive = (state > 0) & (length[rows] >= t + size)
                 rows, state = rows[alive], state[alive]
@@ -126,12 +145,76 @@ class Model:
                 piece = piece_of[state]
                 hit = piece >= 0
                 if hit.any():
-                    ring[(t + size) % (PIECE_BYTES + 1)][rows[hit]] += at[rows[hit]] * self.probability[piece[hit]]
+                    ring[(t + size) % (reach + 1)][rows[hit]] += at[rows[hit]] * self.probability[piece[hit]]
             at[:] = 0
+            if t % RESCALE == RESCALE - 1:
+                top = ring[:, :m].max(axis=0)
+                ring[:, :m] /= top
+                scale[:m] += np.log(top)
         out = np.empty((n, k))
-        out[order] = np.log(np.maximum(total, 1e-300))
+        out[order] = total
         return out
 
+    def _alone(self, word: bytes) -> np.ndarray:
+        """The same for one long word, in time linear in its bytes."""
+        table, piece_of = self.trie()
+        size, reach = len(word), self.longest
+        ring, scale = np.zeros((reach + 1, len(self.languages))), np.zeros(len(self.languages))
+        ring[0] = 1.0
+        for t in range(size):
+            at, state = ring[t % (reach + 1)], 1
+            for j in range(t, min(size, t + reach)):
+                state = table[state, word[j]]
+                if state == 0:
+                    break
+                if piece_of[state] >= 0:
+                    ring[(j + 1) % (reach + 1)] += at * self.probability[piece_of[state]]
+            at[:] = 0
+            if t % RESCALE == RESCALE - 1:
+                top = ring.max(axis=0)
+                ring /= top
+                scale += np.log(top)
+        return np.log(ring[size % (reach + 1)]) + scale
+
+    def expected(self, words: list[bytes], weight: np.ndarray, language: int) -> np.ndarray:
+        """How often each piece is used over all segmentations of the words, each word weighed, under one language."""
+        used = np.zeros(len(self.pieces))
+        table, piece_of = self.trie()
+        log_p, reach = np.log(self.probability[:, language]), self.longest
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order:
+            many = max(1, CELLS // (len(words[order[-1]]) + reach))
+            part, order = order[-many:], order[:-many]
+            n, longest = len(part), len(words[part[-1]])
+            length = np.array([len(words[i]) for i in part])
+            text = np.zeros((n, longest + reach), np.uint8)
+            for row, i in enumerate(part):
+                text[row, : length[row]] = np.frombuffer(words[i], np.uint8)
+            ahead, back = np.full((2, n, longest + 1), -np.inf)
+            ahead[:, 0], back[np.arange(n), length] = 0, 0
+            edges = []
+            for t in range(longest):
+                rows, state = np.flatnonzero(length > t), None
+                state = np.ones(len(rows), np.int32)
+                for size in range(1, reach + 1):
+                    state = table[state, text[rows, t + size - 1]]
+                    alive = (state > 0) & (length[rows] >= t + size)
+                    rows, state = rows[alive], state[alive]
+                    if not len(rows):
+                        break
+                    piece = piece_of[state]
+                    hit = piece >= 0
+                    if hit.any():
+                        r, p = rows[hit], piece[hit]
+                        ahead[r, t + size] = np.logaddexp(ahead[r, t + size], ahead[r, t] + log_p[p])
+                        edges.append((t, size, r, p))
+            for t, size, r, p in reversed(edges):
+                back[r, t] = np.logaddexp(back[r, t], log_p[p] + back[r, t + size])
+            share = np.asarray(weight, float)[part]
+            for t, size, r, p in edges:
+                np.add.at(used, p, share[r] * np.exp(ahead[r, t] + log_p[p] + back[r, t + size] - back[r, 0]))
+        return used
+
 
 class Scorer:
     """A model with a bounded cache of word scores, one a worker."""
@@ -139,7 +222,7 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.hash = np.zeros(0, U64)
-        self.score = np.zeros((0, len(model.languages)), np.float32)
+        self.score = np.zeros((0, len(model.languages)), np.float64)
 
     def of_words(self, hashes: np.ndarray, example: np.ndarray, words) -> np.ndarray:
         """Scores of distinct words, given by their sorted hashes and the index of an example of each."""
@@ -147,7 +230,7 @@ class Scorer:
         known = np.zeros(len(hashes), bool)
         if len(self.hash):
             known = self.hash[np.minimum(at, len(self.hash) - 1)] == hashes
-        out = np.empty((len(hashes), len(self.model.languages)), np.float32)
+        out = np.empty((len(hashes), len(self.model.languages)), np.float64)
         out[known] = self.score[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
@@ -161,20 +244,13 @@ class Scorer:
         return out
 
     def compute(self, raw: list[bytes]) -> np.ndarray:
-        parts: list[bytes] = []
-        owner: list[int] = []
-        for i, word in enumerate(raw):
-            text = word.decode("utf-8", "replace")
-            if not LETTER.search(text):
-                continue
-            low = text.lower().encode()
-            for a in range(0, len(low), WORD_BYTES):
-                parts.append((MARK if a == 0 else b"") + low[a : a + WORD_BYTES])
-                owner.append(i)
+        texts = [word.decode("utf-8", "replace") for word in raw]
+        spoken = [i for i, text in enumerate(texts) if LETTER.search(text)]
         out = np.zeros((len(raw), len(self.model.languages)))
-        step = max(1000, 80_000 // max(1, len(self.model.languages)))
-        for a in range(0, len(parts), step):
-            np.add.at(out, owner[a : a + step], self.model.word_scores(parts[a : a + step]))
+        step = max(500, 40_000 // max(1, len(self.model.languages)))
+        for a in range(0, len(spoken), step):
+            part = spoken[a : a + step]
+            out[part] = self.model.word_scores([MARK + texts[i].lower().encode() for i in part])
         return out
 
     def of_texts(self, texts: pa.Array) -> np.ndarray:
@@ -188,51 +264,80 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAIN_DOCS) -> Model:
+def _words_of(batch: pa.RecordBatch) -> dict[str, Counter]:
+    """How often each lower-cased word with a letter occurs in the texts of each language."""
+    found: dict[str, Counter] = {}
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        found.setdefault(lang, Counter()).update(w for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower()) if LETTER.search(w))
+    return found
+
+
+def train(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model:
     """Learn from text and lang of the rows given, sampled by hash down to about ``train_docs`` a language."""
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
     if not sizes:
         return Model([], [], np.zeros((0, 0)))
     bound = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1 << 20, -(-train_docs * (1 << 20) // n)))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(bound, F.col("lang")))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(bound, F.col("lang"))).select("lang", "text")
+    small_batches(docs.sparkSession)
+
+    def gathered(found: dict[tuple[str, bytes], float]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.float64())], names=["lang", "piece", "n"]
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(vocabulary)
         found: Counter = Counter()
         for batch in batches:
-            words: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.update((lang, w) for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower()) if LETTER.search(w))
-            listed = list(words)
-            for (lang, word), ids in zip(listed, sp.encode([w for _, w in listed], num_threads=1)):
-                for i in ids:
-                    found[lang, i] += words[lang, word]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["lang", "piece", "n"]
-        )
-
-    small_batches(docs.sparkSession)
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-    return fit([tuple(r) for r in counted.collect()], vocabulary)
-
-
-def fit(counts: list[tuple[str, int, int]], vocabulary: str) -> Model:
+            for lang, words in _words_of(batch).items():
+                for n, ids in zip(words.values(), sp.encode(list(words), num_threads=1)):
+                    for i in ids:
+                        found[lang, i] += n
+        yield gathered({(lang, raw): n for (lang, i), n in found.items() if (raw := piece_bytes(sp, i)) is not None})
+
+    def recount(model: Model):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            used = np.zeros(model.probability.shape)
+            for batch in batches:
+                for lang, words in _words_of(batch).items():
+                    k = model.languages.index(lang)
+                    used[:, k] += model.expected([MARK + w.encode() for w in words], np.array(list(words.values())), k)
+            yield gathered({(model.languages[k], model.pieces[i]): used[i, k] for i, k in zip(*np.nonzero(used))})
+
+        return run
+
+    def fitted(counter) -> Model:
+        counts = sample.mapInArrow(counter, "lang string, piece binary, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        return fit([(r["lang"], bytes(r["piece"]), r["n"]) for r in counts.collect()])
+
+    model = fitted(count)
+    for _ in range(rounds if model.languages else 0):
+        model = fitted(recount(model))
+    return model
+
+
+def piece_bytes(sp, piece: int) -> bytes | None:
+    """The bytes a piece stands for, the word mark a space; None for control and unknown pieces."""
+    if sp.is_unknown(piece) or sp.is_control(piece):
+        return None
+    name = sp.id_to_piece(piece)
+    return bytes([int(name[1:-1], 16)]) if sp.is_byte(piece) else name.replace("▁", " ").encode()
+
+
+def fit(counts: list[tuple[str, bytes, float]]) -> Model:
     """Smoothed probabilities from (language, piece, count); every single byte is a piece too."""
-    sp = _processor(vocabulary)
     languages = sorted({c[0] for c in counts})
     place: dict[bytes, int] = {bytes([b]): b for b in range(256)}
-    rows: list[tuple[int, int, int]] = []
-    for lang, piece, n in counts:
-        name = sp.id_to_piece(piece)
-        raw = bytes([int(name[1:-1], 16)]) if sp.is_byte(piece) else name.replace("▁", " ").encode()
-        if sp.is_unknown(piece) or sp.is_control(piece) or len(raw) > PIECE_BYTES:
-            continue
-        rows.append((place.setdefault(raw, len(place)), languages.index(lang), n))
+    for _, piece, _ in sorted(counts):
+        place.setdefault(piece, len(place))
     table = np.full((len(place), len(languages)), SMOOTHING)
-    for i, k, n in rows:
-        table[i, k] += n
+    for lang, piece, n in sorted(counts):
+        table[place[piece], languages.index(lang)] += n
     return Model(languages, list(place), np.maximum(table / table.sum(axis=0, keepdims=True), FLOOR))
 
 

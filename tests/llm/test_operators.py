@@ -341,6 +341,76 @@ def test_language_model_sums_segmentations():
     assert np.allclose(got, [0.15 * (0.1 * 0.2 + 0.3) + 0.25 * 0.2, 0.1 * 0.2 + 0.3, 0.15])
 
 
+def naive_score(model, word, k):
+    """log P(word) by the sum over all segmentations, with logarithms."""
+    ways = [0.0] + [-np.inf] * len(word)
+    place = {p: i for i, p in enumerate(model.pieces)}
+    for t in range(len(word)):
+        for end in range(t + 1, len(word) + 1):
+            if word[t:end] in place:
+                ways[end] = np.logaddexp(ways[end], ways[t] + np.log(model.probability[place[word[t:end]], k]))
+    return ways[-1]
+
+
+@pytest.fixture(scope="module")
+def two_languages():
+    rng = np.random.default_rng(1)
+    pieces = [bytes([b]) for b in range(256)] + [b" a", b"ab", b"abc", b"bcabcabc", b"ca" * 12, "日本".encode(), "é".encode()]
+    p = rng.random((len(pieces), 2))
+    return langid.Model(["x", "y"], pieces, p / p.sum(axis=0))
+
+
+@pytest.mark.parametrize("n", [1, 5, 47, 48, 49, 52, 64, 65, 300])
+def test_language_sums_are_whole(two_languages, n):
+    words = [(b" " + b"abc" * n)[:n], b"bcabcabc".join([b"a" * 44, b""])[: n + 20], ("日本é" * n).encode(), b"ca" * n]
+    got = two_languages.word_scores(words)
+    want = [[naive_score(two_languages, w, k) for k in (0, 1)] for w in words]
+    assert np.allclose(got, want, atol=1e-6, rtol=1e-12)
+
+
+def test_language_scores_do_not_underflow(two_languages):
+    long = two_languages.word_scores([b"abcx" * 20_000])
+    assert np.isfinite(long).all() and (long < -10_000).all()
+
+
+def test_expected_counts_equal_all_segmentations():
+    model = langid.Model(["x"], [b"a", b"b", b"ab", b"ba"], np.array([[0.4], [0.3], [0.2], [0.1]]))
+
+    def ways(word):
+        if not word:
+            return [([], 1.0)]
+        return [([p, *rest], model.probability[i, 0] * q) for i, p in enumerate(model.pieces) if word.startswith(p) for rest, q in ways(word[len(p) :])]
+
+    words, weight = [b"abab", b"b", b"aabba"], np.array([2.0, 1.0, 3.0])
+    want = np.zeros(4)
+    for w, n in zip(words, weight):
+        total = sum(q for _, q in ways(w))
+        for pieces, q in ways(w):
+            for p in pieces:
+                want[model.pieces.index(p)] += n * q / total
+    assert np.allclose(model.expected(words, weight, 0), want)
+
+
+def test_language_whole_result_equals_brute_force(spark):
+    make = lambda words, n: " ".join(random.choice(words) for _ in range(n))
+    english, german = "the and with that from thing other water".split(), "der und mit dass von ding andere wasser".split()
+    rows = [(i, make(english if i % 2 else german, random.randint(1, 6)), "en" if i % 2 else "de") for i in range(40)]
+    rows += [(50, None, "en"), (51, "12 !", None), (52, "dieunddas" * 30, None), (53, "THE water", None), (54, "x", "de"), (54, "x", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = df.where(langid.fold(F.col("doc_id")) != langid.HELD_OUT)
+    model = langid.train(learned)
+    got = sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in langid.identify(df).collect())
+    want = []
+    for d, text, _ in rows:
+        words = [w for w in brute.WORDS.findall((text or "").lower()) if langid.LETTER.search(w)]
+        logs = [sum(naive_score(model, b" " + w.encode(), k) for w in words) for k in range(2)]
+        share = [float(np.exp(x - np.logaddexp(*logs))) for x in logs]
+        best = int(np.argmax(logs))
+        want.append((d, zlib.crc32(str(d).encode()) % 3 == 1, model.languages[best] if words else "und", round(share[best], 6) if words else 0.0))
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=1e-5)
+
+
 def test_language_held_out(spark):
     make = lambda words, n: " ".join(random.choice(words) for _ in range(n))
     english, german = "the and with that from thing other water".split(), "der und mit dass von ding andere wasser".split()
