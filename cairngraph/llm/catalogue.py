@@ -57,6 +57,16 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(documents(spark, sf_dir))
 
 
+def edited_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that SQL can express."""
+    return op3_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can express."""
+    return op6_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +86,8 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
         "op10_linededup": op10_linededup,
+        "edited_text": edited_text,
+        "secret_base": secret_base,
     }
 
 
@@ -87,4 +99,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": mixing.oracle(),
         "op9_licenses": licenses.oracle(),
         "op10_linededup": linededup.oracle(),
+        "edited_text": fingerprint.edited_oracle(),
+        "secret_base": secrets.base_oracle(),
     }

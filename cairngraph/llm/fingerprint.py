@@ -189,3 +189,11 @@ def _emit(rows: list[tuple], shingle: int, fraction: float) -> Iterator[pa.Recor
         ],
         names=[c.split()[0] for c in SCHEMA.split(", ")],
     )
+
+
+def edited_oracle() -> str:
+    """Lengths and edited texts in DuckDB SQL."""
+    return """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+e AS (SELECT doc_id, t, len(t) // 4 AS cut, coalesce(lead(t) OVER (ORDER BY doc_id NULLS FIRST, t), first(t) OVER (ORDER BY doc_id NULLS FIRST, t)) AS following FROM d)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_chars, sha256(left(t, len(t) - cut) || left(following, cut)) AS edited_sha256 FROM e"""

@@ -1,16 +1,16 @@
 """Secret scans: base patterns plus an assignment-aware lexer.
 
-The lexer reads name-literal pairs from source and configuration syntax
-(``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
-``export NAME=x``), propagates constants through assignments whose right side is
-a known name or a ``+`` chain of names and literals, and scores each literal by
-the names it finally reaches and by its own shape or that of the whole value its
-chain builds.  A literal under no sensitive
-name is left alone.
+The lexer reads name-literal pairs from source and configuration syntax (see
+``lexer``), propagates constants through assignments whose right side is a known
+name or a chain of names and literals, and scores each literal by the names it
+finally reaches and by its own shape or that of the whole value its chain builds.  A
+literal under no sensitive name is left alone; a text without a word that makes a
+name sensitive is not lexed.
 
 Defined cases: null and empty texts hold no spans; offsets count code points, the
 end is exclusive; spans are sorted by start, then kind in the order of ``KINDS``,
-then end; texts are scanned whole.
+then end; texts are scanned whole, in time linear in their length; repeated rows give
+repeated results; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cairngraph.llm.lexer import Term, assignments
 from cairngraph.llm.storage import small_batches
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -38,15 +38,12 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _CUES = ("passw", "secret", "token", "api")
 
-#: name, operator, right side up to the end of the statement.
-STATEMENT = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)(?:\[["']?(?P<key>[A-Za-z0-9_\-]+)["']?\])?[\x20\t]*(?::=|=>|:(?!//)|=(?!=))[\x20\t]*(?P<right>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_.]*(?=(?:[\x20\t]*\+[\x20\t]*[A-Za-z_][A-Za-z0-9_.]*)*[\x20\t]*\+[\x20\t]*["'])|[^\s,;"'{}()\[\]]+)(?P<rest>(?:[\x20\t]*\+[\x20\t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_.]*))*)"""
-)
-TERM = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_.]*""")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weight of a name's word; pairs of words count where neither says enough alone.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 0.9, "token": 0.8, "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "privatekey": 1.0, "accesskey": 1.0, "authkey": 1.0, "auth": 0.5, "signature": 0.4}
 PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("auth", "key"): 1.0, ("encryption", "key"): 1.0, ("signing", "key"): 1.0, ("account", "key"): 0.9, ("connection", "string"): 0.8}
+#: Every name of a score above 0 holds one of these, in either case.
+SENSITIVE_PARTS = ("password", "passwd", "pwd", "passphrase", "secret", "token", "key", "credential", "auth", "signature", "connection")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example.*|your[_-].*|<.*>|\$\{.*\}|none|null|true|false|todo|test|dummy)$")
 THRESHOLD, MIN_LENGTH = 0.6, 8
 #: A chain's value is scored by that many characters at most (doubled names grow without bound); its literals are all found.
@@ -69,31 +66,6 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.5 * min(entropy / 3.5, 1) + 0.2 * min(n / 20, 1) + 0.15 * (classes - 1))
 
 
-class Term(NamedTuple):
-    """A literal (quotes left out) or a name of the right side of an assignment."""
-
-    start: int
-    end: int
-    value: str
-    is_name: bool
-
-
-def assignments(text: str) -> list[tuple[str, list[Term]]]:
-    """(target name, terms of its right side) of each assignment."""
-    found = []
-    for m in STATEMENT.finditer(text):
-        target = f"{m['name']}.{m['key']}" if m["key"] else m["name"]
-        places = [m.span("right"), *(t.span() for t in TERM.finditer(text, *m.span("rest")))]
-        terms = []
-        for start, end in places:
-            quoted = text[start] in "\"'" and end - start > 1
-            start, end = (start + 1, end - 1) if quoted else (start, end)
-            value = text[start:end]
-            terms.append(Term(start, end, value, not quoted and re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", value) is not None))
-        found.append((target, terms))
-    return found
-
-
 def _origins(found: list[tuple[str, list[Term]]], feeds: dict[str, list[int]]) -> list[list[int | None]]:
     """For each term of each assignment, the assignment a name takes its constant from: the last before, else the next."""
     origins: list[list[int | None]] = []
@@ -131,7 +103,8 @@ def lexed(text: str) -> list[tuple[str, int, int]]:
     A literal is scored alone and, in a chain, by the whole value it is a part of; all literals of a value that
     scores are found, those of the names in it too.
     """
-    if "=" not in text and ":" not in text:
+    low = text.lower()
+    if not any(part in low for part in SENSITIVE_PARTS):
         return []
     found = assignments(text)
     feeds: dict[str, list[int]] = {}  # name -> assignments that define it
@@ -153,9 +126,9 @@ def lexed(text: str) -> list[tuple[str, int, int]]:
     for i, ((_, terms), s) in enumerate(zip(found, score)):
         if s <= 0:
             continue
-        for n, t in enumerate(terms):
-            # an unquoted first term that no assignment defines is a literal too
-            if (not t.is_name or (n == 0 and t.value not in feeds)) and s * literal_score(t.value) >= THRESHOLD * 0.8:
+        for t in terms:
+            # a lone unquoted word that no assignment defines is a literal too
+            if (not t.is_name or (len(terms) == 1 and t.value not in feeds)) and s * literal_score(t.value) >= THRESHOLD * 0.8:
                 spans.add(("literal", t.start, t.end))
         if len(terms) == 1:
             continue
@@ -222,3 +195,26 @@ def redact(text: str, mask: str = "[SECRET]") -> str:
             out += [text[at:a], mask]
         at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+def base_oracle() -> str:
+    """Counts and digest of the base spans in DuckDB SQL: matches marked in the text, and their places summed up."""
+    names = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+    quote = "[\"'']?"
+    assign = f"((?:{names}){quote}\\x20*[:=]\\x20*{quote})([A-Za-z0-9+/_.=-]+)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+marked AS (
+  SELECT r, 0 AS kind, string_split(regexp_replace(t, '{assign}', chr(1) || '\\1' || chr(3) || '\\2' || chr(2), 'g'), chr(1)) AS parts FROM d
+  UNION ALL SELECT r, 1, string_split(regexp_replace(t, '(AKIA[A-Z0-9]+)', chr(1) || chr(3) || '\\1' || chr(2), 'g'), chr(1)) FROM d
+  UNION ALL SELECT r, 2, string_split(regexp_replace(t, '([0-9a-f]+)', chr(1) || chr(3) || '\\1' || chr(2), 'g'), chr(1)) FROM d),
+part AS (SELECT r, kind, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM marked),
+placed AS (
+  SELECT *, sum(len(replace(replace(p, chr(2), ''), chr(3), ''))) OVER (PARTITION BY r, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start,
+    len(split_part(p, chr(2), 1)) - 1 AS size, len(split_part(split_part(p, chr(2), 1), chr(3), 2)) AS n FROM part),
+span AS (SELECT r, kind, CAST(start AS BIGINT) AS a, CAST(start + size AS BIGINT) AS b FROM placed WHERE i > 1 AND n >= CASE kind WHEN 0 THEN 6 WHEN 1 THEN 20 ELSE 24 END),
+found AS (
+  SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    string_agg(CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' ELSE 'hex' END || ':' || a || ':' || b, ',' ORDER BY a, kind, b) AS spans FROM span GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN found USING (r)"""
