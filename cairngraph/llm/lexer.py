@@ -8,8 +8,10 @@ triple or back quotes, an unquoted word, a YAML block scalar, or a chain of stri
 and names joined by ``+`` or, in parentheses, by standing next to each other; it may
 begin on the next line if that line begins with a quote or a parenthesis was opened.
 
-Names are matched possessively and only at their first character, and a quote that
-its line does not close is remembered, so nothing is read more than a few times.
+Names are matched possessively and only at their first character, a quote that its
+line does not close is remembered, and names within an unquoted value share it out
+among themselves (``url=http://h/?a=1&b=2``: url has all of it, a and b their own
+parts), so nothing is read more than a few times.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ HEAD = re.compile(
 DEFINE = re.compile(r"\#[\x20\t]*+define[\x20\t]++(?P<name>[A-Za-z_][A-Za-z0-9_]*+)[\x20\t]++")
 TAG = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.:\-]*+)(?P<rest>[^<>]*+)>(?:(?P<text>[^<>]++)</)?")
 ATTRIBUTE = re.compile(r"""(?<![A-Za-z0-9_.:\-])(?P<name>[A-Za-z_][A-Za-z0-9_.:\-]*+)\s*+=\s*+(?P<quote>["'])(?P<value>[^"'<>]*+)(?P=quote)""")
-UNQUOTED = re.compile(r"""[^\s,;"'`{}()\[\]<>]++""")
+UNQUOTED, PART = re.compile(r"""[^\s,;"'`{}()\[\]<>]++"""), re.compile(r"""[^\s,;&"'`{}()\[\]<>]++""")
 BODY = {'"': re.compile(r'(?:[^"\\\n]++|\\.)*+'), "'": re.compile(r"(?:[^'\\\n]++|\\.)*+"), "`": re.compile(r"(?:[^`\\]++|\\.)*+", re.S)}
 PREFIX = re.compile(r"""[rbufRBUF]{1,2}(?=["'])""")
 BLANK, GAP = re.compile(r"[\x20\t]*+"), re.compile(r"(?:\s++|\\\n)*+")
@@ -52,6 +54,8 @@ class _Reader:
         self.text = text
         self.open_until: dict[str, int] = {}  # up to there, this quote opens nothing that closes
         self.block_end = 0
+        self.word_end = 0  # of the last unquoted value
+        self.next_head = len(text)
 
     def string(self, at: int) -> tuple[list[Term], int] | None:
         """The string that opens at a quote: its literals, a line each, and where it ends."""
@@ -108,7 +112,13 @@ class _Reader:
         name = NAME.match(text, at)
         if name and (not first or self.chained(name.end())):
             return [Term(at, name.end(), name[0], True)], name.end()
-        word = UNQUOTED.match(text, at) if first else None
+        if not first:
+            return None
+        if at < self.word_end:  # within another name's value: up to the next name
+            word = PART.match(text, at, max(at, min(self.next_head, self.word_end)))
+        else:
+            word = UNQUOTED.match(text, at)
+            self.word_end = word.end() if word else 0
         if word is None:
             return None
         return [Term(at, word.end(), word[0], NAME.fullmatch(word[0]) is not None)], word.end()
@@ -149,10 +159,13 @@ class _Reader:
 def assignments(text: str) -> list[tuple[str, list[Term]]]:
     """(target name, terms of its value) of each pair, in the order of their names."""
     reader, found = _Reader(text), []
-    for m in HEAD.finditer(text):
+    heads = list(HEAD.finditer(text))
+    for m, after in zip(heads, [*heads[1:], None]):
+        reader.next_head = after.start() if after else len(text)
         group = "flag" if m["flag"] else "name" if m["name"] else "quoted"
         if terms := reader.value(m.start(), m.end()):
             found.append((m.start(group), f"{m[group]}.{m['key']}" if m["key"] else m[group], terms))
+    reader.word_end, reader.next_head = 0, len(text)
     if "#" in text:
         for m in DEFINE.finditer(text):
             if terms := reader.value(m.start(), m.end()):

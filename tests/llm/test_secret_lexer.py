@@ -45,6 +45,7 @@ def literals(text):
         f'x = "{LONG}"\ny = x\nclient.secret = y',
         f"don't say password = '{LONG}'",
         f'url = "https://host/?token={LONG}"',
+        f"url = https://host/?a=1&token={LONG}&b=2",
     ],
 )
 def test_literals_of_sensitive_names_are_found(text):
