@@ -1,9 +1,11 @@
 """Connected components by alternating large-star and small-star.
 
-Each round is two grouped minima and two joins over the edges that are left; hubs
-are aggregated map-side first, and their joins are left to adaptive skew
-splitting.  Every round is written to the shared folder, which cuts lineage and
-outlives executors.  Nothing but a count and a checksum comes to the driver.
+Each round is two grouped minima and two joins over the edges that are left.  Hubs
+are aggregated map-side first, and the minima are stored before they are joined:
+both sides of a join are then plain exchanges, which adaptive execution splits where
+a node has very many edges.  Every round is written to the shared folder, which cuts
+lineage and outlives executors.  Nothing but a count and a checksum comes to the
+driver.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ MAX_ROUNDS = 60
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges with u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
@@ -37,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(MAX_ROUNDS):
-        now = stored(_small_star(_large_star(now)), "edges")
+        now = stored(_small_star(stored(_large_star(now), "edges")), "edges")
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(found) == seen:
             break

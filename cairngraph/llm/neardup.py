@@ -1,17 +1,23 @@
-"""MinHash near-duplicates: universal hash minima, banding, full verification, components.
+"""MinHash near-duplicates: universal hash minima, banding, signature and full verification, components.
 
 1. One pass over the texts: shingle sets, minima of ``bands * rows`` universal
-   (multiply-add) hashes, one key a band, and a 128-bit key of the whole set.
+   (multiply-add) hashes, kept as a signature of 32 bits each, one key a band, and a
+   128-bit key of the whole set.
 2. Documents with equal sets collapse to the one with the smallest doc_id, by an
    aggregation that combines map-side; copies never meet again as pairs.
-3. Documents sharing a band key fall into one cluster: each bucket is a star
-   around its smallest member, and stars join by large-star and small-star.  A
-   link that banding finds therefore lies within one cluster.
-4. Clusters are verified on full sets.  A cluster is cut into blocks of about
-   ``BLOCK_DOCS`` documents; a task takes two blocks and multiplies their
-   incidence matrices, so no pair is ever emitted: only a spanning forest of the
-   links it found.  A huge group of near copies becomes many equal tasks.
-5. Verified links go through components again.
+3. First pass, linear: each document meets the smallest document of its buckets, one
+   pair a document.  The share of equal minima estimates their Jaccard index; pairs
+   that could be near (see below) are verified on full sets.  Components are taken
+   over verified links only.
+4. Second pass, only for buckets that still hold several components.  By the triangle
+   inequality of the Jaccard distance, a document below 2t - 1 from the smallest one
+   of its bucket is linked with none that is within t of it.  Estimates, with a margin
+   of ``MARGIN`` (four standard deviations), cut the bucket into those near its
+   smallest document and those not verified with it.  Each part that holds several
+   components is verified on full sets, in blocks of about ``BLOCK_DOCS`` documents: a
+   task takes two blocks and multiplies their incidence matrices, so no pair is ever
+   emitted, only a spanning forest of the links it found.
+5. Components over the links of both passes.
 
 Bands are chosen so that a pair at the threshold escapes all of them with a
 chance below ``MISS``.
@@ -32,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairngraph.llm.graphs import components
-from cairngraph.llm.storage import small_batches, stored
+from cairngraph.llm.storage import concluded, small_batches, stored
 from cairngraph.llm.textbatch import U64, mix, word_slices
 
-MISS, BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 1e-5, 256, 1 << 18, 4096
+MISS, MARGIN, BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 1e-5, 0.15, 256, 1 << 18, 4096
 
 
 def banding(threshold: float) -> tuple[int, int]:
@@ -59,7 +65,7 @@ def _sorted_sets(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, bands): the set's size, its 128-bit key and its band keys."""
+    """(doc_id, n_shingles, k1, k2, bands, minima): the set's size, its 128-bit key, its band keys and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _family(bands * rows)
@@ -71,7 +77,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 size = np.bincount(doc, minlength=n)
                 has = np.flatnonzero(size)
                 starts = np.searchsorted(doc, has)
-                keys = np.zeros((bands, n), U64)
+                keys, minima = np.zeros((bands, n), U64), np.zeros((n, bands * rows), "<u4")
                 k1, k2 = np.zeros(n, U64), np.zeros(n, U64)
                 if len(has):
                     k1[has] = np.add.reduceat(mix(value), starts)
@@ -79,17 +85,19 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                     for band in range(bands):
                         key = np.full(len(has), band + 1, U64)
                         for h in range(band * rows, band * rows + rows):
-                            key = mix(key ^ np.minimum.reduceat(value * a[h] + b[h], starts)) + U64(h)
+                            least = mix(np.minimum.reduceat(value * a[h] + b[h], starts))
+                            minima[has, h] = least.astype(np.uint32)
+                            key = mix(key ^ least) + U64(h)
                         keys[band, has] = key
                 flat = pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel())
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, n), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), listed],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands"],
+                    [ids.slice(i, n), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), listed, pa.array([x.tobytes() for x in minima], pa.binary())],
+                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "minima"],
                 )
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, minima binary")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -177,32 +185,100 @@ def _verified(placed: DataFrame, percent: int) -> DataFrame:
     return dealt.select("cluster", "i", "j", "doc_id", "set").mapInArrow(run, "u long, v long")
 
 
+def _with_both(edges: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """Edges (u, v) with a column of the table (rep, column) for either end."""
+    side = lambda end: of.select(F.col("rep").alias(end), F.col(column).alias(f"of_{end}"))
+    return edges.join(side("u"), "u").join(side("v"), "v").select("u", "v", "of_u", "of_v")
+
+
+def estimates(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v, estimate): the share of minima that agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(len(batch), -1) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((one == two).mean(axis=1) if len(batch) else [], pa.float64())], names=["u", "v", "estimate"])
+
+    return _with_both(edges, classes, "minima").mapInArrow(run, "u long, v long, estimate double")
+
+
+def verified_pairs(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges (u, v) with 100 * |A & B| >= percent * |A | B| on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for one, two in zip(batch.column(2), batch.column(3)):
+                one, two = np.frombuffer(one.as_buffer(), U64), np.frombuffer(two.as_buffer(), U64)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                linked.append(both > 0 and 100 * both >= percent * (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(linked, pa.bool_())), batch.column(1).filter(pa.array(linked, pa.bool_()))], names=["u", "v"])
+
+    return _with_both(edges, sets, "set").mapInArrow(run, "u long, v long")
+
+
+def _second_pass(keyed: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links within buckets (key, least, rep) that the first pass has left in several components.  Pairs without an estimate count as near and not verified."""
+    found = stored(components(links), "first-components").withColumnsRenamed({"node": "rep"})
+    placed = keyed.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = stored(placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"), "open-buckets")
+    rows = stored(placed.join(several, "key"), "open-members")
+    stars = rows.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
+    known = links.select("u", "v").distinct().withColumn("linked", F.lit(True))
+    judged = stored(estimates(stars, classes.where("sets = 1")).join(known, ["u", "v"], "left").select("u", "v", "estimate", F.coalesce("linked", F.lit(False)).alias("linked")), "open-stars")
+    near = 2 * percent / 100 - 1 - MARGIN
+    members = rows.join(judged.withColumnsRenamed({"u": "rep", "v": "least"}), ["rep", "least"], "left")
+    is_near, is_rest = F.col("estimate").isNull() | (F.col("estimate") >= near), (F.col("rep") != F.col("least")) & ~F.coalesce("linked", F.lit(False))
+    parts = members.select("key", "rep", "component", F.explode(F.array_compact(F.array(F.when(is_near, F.lit(0)), F.when(is_rest, F.lit(1))))).alias("part"))
+    parts = stored(parts, "open-parts")
+    sizes = classes.select("rep", "n")
+    groups = (
+        parts.join(sizes, "rep")
+        .groupBy("key", "part")
+        .agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("rep")).alias("xor"))
+        .where("c0 < c1")
+        # The same documents meet in many bands: one group of each kind is enough.
+        .groupBy("docs", "shingles", "sum", "xor")
+        .agg(F.min(F.struct("key", "part")).alias("g"))
+        .select("g.key", "g.part", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    )
+    dealt = parts.join(stored(groups, "open-groups"), ["key", "part"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # Where there is more than one block, a block meets itself in each of its pairs.
+    pairs = "transform(sequence(0, blocks - 1), b -> struct(least(b, block) as i, greatest(b, block) as j))"
+    cells = dealt.withColumn("pair", F.explode(F.expr(f"if(blocks = 1, array(struct(0 as i, 0 as j)), filter({pairs}, p -> p.i <> p.j))")))
+    cluster = F.xxhash64("key", "part").alias("cluster")
+    full = cells.join(sets, "rep").select(cluster, "pair.i", "pair.j", F.col("rep").alias("doc_id"), "set")
+    return _verified(full, percent)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of a table with doc_id and text."""
+    return concluded(docs.sparkSession, lambda: _near_duplicates(docs, shingle, percent), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     bands, rows = banding(percent / 100)
     signed = stored(signatures(docs, shingle, bands, rows), "minhash")
     known = signed.where("n_shingles > 0 and doc_id is not null")
     # One document a set; its band keys come along as those of any member: equal sets have equal keys.
-    classes = stored(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
-    keyed = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least")
-    stars = keyed.join(buckets, "key").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
-    clusters = components(stars)
-    # Blocks of a cluster: enough for both bounds.
-    sized = clusters.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node")
-    totals = sized.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    totals = totals.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
-    members = (
-        sized.join(totals, "component")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "block", "blocks")
-    )
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(members, "doc_id")
-    # Where there is more than one block, a block meets itself in each of its pairs.
-    pairs = "transform(sequence(0, blocks - 1), b -> struct(least(b, block) as i, greatest(b, block) as j))"
-    placed = shingle_sets(texts, shingle).withColumn("pair", F.explode(F.expr(f"if(blocks = 1, array(struct(0 as i, 0 as j)), filter({pairs}, p -> p.i <> p.j))")))
-    links = _verified(placed.select("cluster", "pair.i", "pair.j", "doc_id", "set"), percent)
-    found = components(links)
+    one = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("minima").alias("minima"))
+    classes = stored(one, "minhash-classes")
+    # A document can have two sets (repeated ids): its least size and one of its signatures stand for both.
+    reps = stored(classes.groupBy("rep").agg(F.min("n").alias("n"), F.first("minima").alias("minima"), F.count("*").alias("sets")), "minhash-reps")
+    every = classes.select("rep", F.explode("bands").alias("key"))
+    buckets = stored(every.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least"), "buckets")
+    keyed = stored(every.join(buckets, "key").distinct(), "bucket-members")
+    # First pass: one pair a document.
+    stars = stored(keyed.where("rep <> least").groupBy(F.col("rep").alias("u")).agg(F.min("least").alias("v")), "stars")
+    wanted = keyed.select("rep").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+    sets = stored(shingle_sets(texts, shingle), "near-sets")
+    near = estimates(stars, reps.where("sets = 1")).where(F.col("estimate") >= 2 * percent / 100 - 1 - MARGIN).select("u", "v")
+    # Of a document with several sets no signature speaks for all.
+    twofold = stars.join(reps.where("sets > 1").select(F.col("rep").alias("u")), "u", "left_semi").unionByName(stars.join(reps.where("sets > 1").select(F.col("rep").alias("v")), "v", "left_semi"))
+    links = stored(verified_pairs(near.unionByName(twofold).distinct(), sets, percent), "links")
+    more = stored(_second_pass(keyed, reps, sets, links, percent), "more-links")
+    found = components(links.unionByName(more))
     resolved = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component"))
     # Rows sharing a doc_id are one document: take the least component of its sets.
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(resolved, ["k1", "k2"], "left")
@@ -215,7 +291,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     )
 
 
-
 def oracle(shingle: int = 5, percent: int = 80) -> str:
     """The same rows in DuckDB SQL: all shared shingles counted, links followed to a fixpoint."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
