@@ -174,7 +174,11 @@ def spdx_rules(text: Column) -> Column:
 
 
 def _sequence(ids: Column) -> Column:
-    return F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|"))
+    return F.array_join(F.transform(ids, lambda i: F.concat(F.lit("|"), i, F.lit("|"))), "")
+
+
+def _needle(ids: list[str]) -> str:
+    return "".join(f"|{i}|" for i in ids)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -185,10 +189,10 @@ def scan(docs: DataFrame) -> DataFrame:
     hits: list[Column] = []
     rest = F.col("sequence")
     for rule, _, _, ids in RULES:
-        needle = "|" + "|".join(ids) + "|"
+        needle = _needle(ids)
         hits.append(F.when(F.contains(rest, F.lit(needle)), F.lit(rule)))
         if len(ids) > 1:  # what a longer rule has matched is not matched again
-            rest = F.replace(rest, F.lit(needle), F.lit("||"))
+            rest = F.replace(rest, F.lit(needle), F.lit("#"))
     found = found.withColumn("rules", F.concat(F.array_compact(F.array(*hits)), F.col("spdx")))
     named = [(rule, name, kind) for rule, name, kind, _ in RULES] + [(f"spdx-{i}", *of) for i, of in SPDX.items()]
     license_of = F.create_map(*[F.lit(x) for rule, name, _ in named for x in (rule, name)])
@@ -208,14 +212,14 @@ def oracle() -> str:
     """The same rows in DuckDB SQL, for texts without SPDX lines whose known sentences are all found in one reading."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({q(s)}, {q(n)})" for n, s in SENTENCES.items())
-    rules = ", ".join(f"({i}, {q(r)}, {q(n)}, {q(k)}, {q('|' + '|'.join(ids) + '|')}, {len(ids)})" for i, (r, n, k, ids) in enumerate(RULES))
+    rules = ", ".join(f"({i}, {q(r)}, {q(n)}, {q(k)}, {q(_needle(ids))}, {len(ids)})" for i, (r, n, k, ids) in enumerate(RULES))
     rest = "seq"
     columns = []
     for rule, _, _, ids in RULES:
-        needle = q("|" + "|".join(ids) + "|")
+        needle = q(_needle(ids))
         columns.append(f"CASE WHEN contains({rest}, {needle}) THEN {q(rule)} END")
         if len(ids) > 1:
-            rest = f"replace({rest}, {needle}, '||')"
+            rest = f"replace({rest}, {needle}, '#')"
     low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     unit = lambda marked: f"string_split(regexp_replace({marked}, '[^a-z0-9\\x01]+', ' ', 'g'), chr(1))"
     by_line = unit(f"regexp_replace({low}, '[.!?;:][ \\t\\r\\n]+|\\n', chr(1), 'g')")
@@ -228,7 +232,7 @@ unit AS (
   UNION ALL SELECT r, 1, unnest({by_wrap}), generate_subscripts({by_wrap}, 1) FROM docs),
 hit AS (SELECT r, wrapped, count(*) AS n, list(id ORDER BY pos) AS ids FROM unit JOIN known ON trim(s, ' ') = sentence GROUP BY r, wrapped),
 best AS (SELECT r, arg_max(ids, n * 2 - wrapped) AS ids FROM hit GROUP BY r),
-seq AS (SELECT doc_id, coalesce(ids, []) AS ids, '|' || array_to_string(coalesce(ids, []), '|') || '|' AS seq FROM docs LEFT JOIN best USING (r)),
+seq AS (SELECT doc_id, coalesce(ids, []) AS ids, array_to_string(list_transform(coalesce(ids, []), lambda x: '|' || x || '|'), '') AS seq FROM docs LEFT JOIN best USING (r)),
 ruled AS (SELECT doc_id, ids, list_filter([{', '.join(columns)}], lambda x: x IS NOT NULL) AS rules FROM seq)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known, array_to_string(ids, ',') AS sentence_ids, array_to_string(rules, ',') AS rules,
   coalesce((SELECT string_agg(license, ',' ORDER BY license) FROM (SELECT DISTINCT license FROM rule WHERE list_contains(rules, rule.rule))), '') AS licenses,

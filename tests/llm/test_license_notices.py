@@ -122,3 +122,10 @@ FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
     got = {r.doc_id: (r.rules, r.licenses, r.n_known) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == ("mit-full,cc0", "CC0-1.0,MIT", 4) and got[2] == ("mit-full,cc0", "CC0-1.0,MIT", 8)
     assert got[3][:2] == ("apache-comment", "Apache-2.0")
+
+
+def test_the_same_licence_twice_leaves_no_part_of_itself(spark):
+    one = ". ".join(licenses.SENTENCES[i] for i in ("mit_grant", "mit_notice", "as_is_mit")) + ".\n\n"
+    df = spark.createDataFrame([(1, one * 2), (2, one * 3), (2, one * 3), (3, "x" * 300_000 + "\n\n" + one), (4, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.rules) for r in licenses.scan(df).collect())
+    assert got == [(1, "mit-full"), (2, "mit-full"), (2, "mit-full"), (3, "mit-full"), (4, "")]
