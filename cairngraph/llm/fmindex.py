@@ -2,8 +2,12 @@
 
 The text is a concatenation of sequences, each closed by symbol 0.  Suffixes are
 ordered by their first ``DEPTH`` symbols (prefix doubling), which is all that
-patterns of up to ``DEPTH`` symbols can tell apart.  Searches run in lockstep over
-many sequences at once, so every step is a handful of array operations.
+patterns of up to ``DEPTH`` symbols can tell apart.  What is kept is the wavelet
+matrix of the transform, a byte a suffix for common prefixes with a tree of minima
+above (two bytes a suffix in all), and a wavelet matrix of the sequences' label ranks
+in suffix order, which gives the smallest label of an interval without listing it.
+Neither text nor suffix array is kept.  Searches run in lockstep over many sequences
+at once, so every step is a handful of array operations.
 """
 
 from __future__ import annotations
@@ -43,21 +47,77 @@ class WaveletMatrix:
             high = np.where(one, self.zeros[k] + b, high - b)
         return high - low
 
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest symbol in each non-empty range."""
+        out = np.zeros(len(low), np.int64)
+        for k, level in enumerate(reversed(range(self.levels))):
+            a, b = self._ones(k, low), self._ones(k, high)
+            none = (high - low) == (b - a)  # no zero here: all have this bit
+            out[none] |= 1 << level
+            low = np.where(none, self.zeros[k] + a, low - a)
+            high = np.where(none, self.zeros[k] + b, high - b)
+        return out
+
     def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
         word = at >> 6
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
         return self.counts[k][word] + np.bitwise_count(self.words[k][word] & mask).astype(np.int64)
 
 
-def _sparse(values: np.ndarray) -> list[np.ndarray]:
-    """Minima of 1, 2, 4 ... values from each place on."""
-    table = [values]
-    width = 1
-    while 2 * width <= len(values):
-        last = table[-1]
-        table.append(np.minimum(last[:-width], last[width:]))
-        width *= 2
-    return table
+class Minima:
+    """The nearest value below a bound to either side, by a tree of minima of aligned blocks."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.n = len(values)
+        size = 1 << max(0, int(self.n - 1).bit_length())
+        now = np.zeros(size, np.uint8)  # beyond the end every bound is passed
+        now[: self.n] = values
+        self.levels = [now]
+        while len(now) > 1:
+            now = np.minimum(now[::2], now[1::2])
+            self.levels.append(now)
+
+    def _level(self, k: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), np.int64)
+        for level in np.unique(k):
+            m = k == level
+            out[m] = self.levels[level][at[m]]
+        return out
+
+    def before(self, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """The last place up to ``at`` whose value is below the bound; place 0 holds 0."""
+        return self._nearest(at, bound, -1)
+
+    def after(self, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """The first place from ``at`` on whose value is below the bound, or the length."""
+        found = np.full(len(at), self.n, np.int64)
+        inside = at < self.n
+        found[inside] = np.minimum(self._nearest(at[inside], bound[inside], 1), self.n)
+        return found
+
+    def _nearest(self, at: np.ndarray, bound: np.ndarray, step: int) -> np.ndarray:
+        place, level, down = at.astype(np.int64).copy(), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        out = np.full(len(at), self.n if step > 0 else 0, np.int64)
+        live = np.arange(len(at))
+        while len(live):
+            k, p = level[live], place[live]
+            below = self._level(k, p) < bound[live]
+            found = below & (k == 0)
+            out[live[found]] = p[found]
+            # into the half that is nearer
+            into = live[below & (k > 0)]
+            level[into] -= 1
+            place[into] = 2 * place[into] + (step < 0)
+            # past this block, and up where it closes a pair
+            past = live[~below]
+            place[past] += step
+            ends = (place[past] < 0) | (place[past] >= (len(self.levels[0]) >> level[past]))
+            up = past[~ends & ((place[past] & 1) == (0 if step > 0 else 1))]
+            up = up[level[up] < len(self.levels) - 1]
+            place[up] >>= 1
+            level[up] += 1
+            live = np.concatenate([into, past[~ends]])
+        return out
 
 
 class FMIndex:
@@ -75,7 +135,7 @@ class FMIndex:
         body = np.ones(len(raw), bool)
         body[closes] = False
         symbols[body] = text + 1
-        self.symbols, self.n, self.sigma = symbols, len(symbols), len(self.alphabet) + 1
+        self.n, self.sigma = len(symbols), len(self.alphabet) + 1
         rank, ranks, width = symbols, [symbols], 1
         while width < DEPTH:
             ahead = np.zeros(self.n, np.int64)
@@ -83,25 +143,26 @@ class FMIndex:
             rank = np.unique(rank * (self.n + 2) + ahead, return_inverse=True)[1]
             ranks.append(rank)
             width *= 2
-        self.suffixes = np.argsort(rank, kind="stable")
-        before = symbols[self.suffixes - 1]  # the text is read as a circle
+        suffixes = np.argsort(rank, kind="stable")
+        before = symbols[suffixes - 1]  # the text is read as a circle
         self.wavelet = WaveletMatrix(before, self.sigma)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=self.sigma))]).astype(np.int64)
         # Common prefix of neighbours, up to DEPTH, by the ranks of each width.
-        common = np.zeros(self.n + 1, np.int16)
-        a, b = self.suffixes[:-1].copy(), self.suffixes[1:].copy()
-        length = np.zeros(max(0, self.n - 1), np.int16)
+        common = np.zeros(self.n + 1, np.uint8)
+        a, b = suffixes[:-1].copy(), suffixes[1:].copy()
+        length = np.zeros(max(0, self.n - 1), np.int64)
         for k in reversed(range(len(ranks))):
             ok = (a < self.n) & (b < self.n)
             ok[ok] = ranks[k][a[ok]] == ranks[k][b[ok]]
             step = np.where(ok, 1 << k, 0)
             fits = length + step <= DEPTH
             step = np.where(fits, step, 0)
-            length, a, b = (length + step).astype(np.int16), a + step, b + step
+            length, a, b = length + step, a + step, b + step
         common[1 : self.n] = length
-        self.common = _sparse(common)
-        owner = np.searchsorted(self.start, self.suffixes, side="right") - 1
-        self.label = _sparse(np.asarray(labels, np.int64)[owner])
+        self.common = Minima(common)
+        self.labels, ranked = np.unique(np.asarray(labels, np.int64), return_inverse=True)
+        owner = np.searchsorted(self.start, suffixes, side="right") - 1
+        self.owners = WaveletMatrix(ranked[owner] if self.n else np.zeros(0, np.int64), max(2, len(self.labels)))
 
     def symbol_ids(self, sequence: np.ndarray) -> np.ndarray:
         """Dense ids of symbols; -1 for those the index does not hold."""
@@ -112,27 +173,11 @@ class FMIndex:
 
     def least_label(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The smallest label in each non-empty suffix interval."""
-        k = np.log2(high - low).astype(int)
-        out = np.empty(len(low), np.int64)
-        for level in np.unique(k):
-            m = k == level
-            out[m] = np.minimum(self.label[level][low[m]], self.label[level][high[m] - (1 << level)])
-        return out
+        return self.labels[self.owners.least(low, high)]
 
     def _widen(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the first ``length`` symbols of what the given intervals share."""
-        low, high = low.copy(), high.copy()
-        for k in reversed(range(len(self.common))):
-            table, width = self.common[k], 1 << k
-            # to the left: places low - width + 1 .. low all share enough
-            from_ = low - width + 1
-            ok = from_ >= 1
-            ok[ok] = table[from_[ok]] >= length[ok]
-            low = np.where(ok, low - width, low)
-            ok = high + width <= self.n
-            ok[ok] = table[np.minimum(high[ok], len(table) - 1)] >= length[ok]
-            high = np.where(ok, high + width, high)
-        return low, high
+        return self.common.before(low, length), self.common.after(high, length)
 
     def matching_statistics(self, sequences: list[np.ndarray], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(length, low, high, first): for each place of each sequence, the longest match that starts there, up to ``cap``, and its interval.
@@ -168,7 +213,7 @@ class FMIndex:
                 todo[empty] = False
                 miss = miss[m[miss] > 0]
                 if len(miss):  # to the parent: drop symbols at the end until the interval grows
-                    edge = lambda i: self.common[0][i].astype(np.int64)
+                    edge = lambda i: self.common.levels[0][i].astype(np.int64)
                     shorter = np.minimum(np.maximum(edge(a[miss]), np.where(b[miss] < self.n, edge(np.minimum(b[miss], self.n - 1)), 0)), m[miss] - 1)
                     a[miss], b[miss] = self._widen(a[miss], b[miss], shorter)
                     m[miss] = shorter
