@@ -13,9 +13,12 @@ that cannot reach the current k-th score go, the rest are bounded again at each
 finer resolution, and survivors get their exact integer score.
 
 Scale: vectors are packed into chunks during the scan.  Queries (a stated share of
-the rows) and candidates form a grid of (candidate block, query block) cells; a
-task takes one cell and returns k rows a query, and a window over those few rows
-merges them.  Block counts grow with the table, cells stay bounded.
+the rows) and candidates form a grid of (candidate block, query block) cells.  Every
+query block first meets one candidate block, which gives each of its queries a k-th
+score to beat; these go along to all cells.  There, a query that the envelope of the
+block's statistics cannot lift to its score skips the cell, and only candidates that
+reach it are returned, so that the window that merges them sees few rows a query.
+Block counts grow with the table, cells stay bounded.
 
 Defined cases: vectors that are null or hold a null or non-finite component take
 no part, nor do rows with a null vec_id; scores compare only vectors of equal
@@ -63,8 +66,12 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([mean * np.sqrt(size), np.sqrt(square)])
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS) -> list[tuple[int, int, int]]:
-    """(query row, vec_id, score) of the k best of a block for each query, ties to the smaller id."""
+def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS, floors: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(query row, vec_id, score) of the k best of a block for each query, ties to the smaller id.
+
+    floors: a score for each query that k candidates are known to reach; smaller ones are left out.
+    """
+    floors = np.full(len(q), -np.inf) if floors is None else floors
     out: list[tuple[int, int, int]] = []
     if q.dtype == object or x.dtype == object or float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1]) >= EXACT:
         for i in range(len(q)):
@@ -76,20 +83,25 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndar
     # Rounding slack of the bounds, far below one unit of score for any table that passes EXACT.
     slack = 1e-9 * np.linalg.norm(q, axis=1) * float(np.linalg.norm(x, axis=1).max(initial=0)) + 0.25
     stats = [(segment_statistics(q, n), segment_statistics(x, n)) for n in levels]
-    coarse = stats[0][0] @ stats[0][1].T
+    # The best that any row within the block's envelope could score.
+    top, bottom = (f(stats[0][1], axis=0, initial=b) if len(x) else np.zeros(stats[0][1].shape[1]) for f, b in ((np.max, -np.inf), (np.min, np.inf)))
+    hopeful = np.flatnonzero(np.maximum(stats[0][0] * top, stats[0][0] * bottom).sum(axis=1) + slack >= floors)
+    coarse = np.full((len(q), len(x)), -np.inf)
+    coarse[hopeful] = stats[0][0][hopeful] @ stats[0][1].T
     probe = min(len(x), 4 * k)
-    for i in range(len(q)):
+    for i in hopeful:
         bound = coarse[i] + slack[i]
         seed = np.argpartition(-bound, probe - 1)[:probe] if probe else np.zeros(0, int)
         seed = seed[x_ids[seed] != q_ids[i]]
         known = np.sort(x[seed] @ q[i])[::-1]
-        reach = known[k - 1] if len(known) >= k else -np.inf
+        reach = max(floors[i], known[k - 1] if len(known) >= k else -np.inf)
         alive = np.flatnonzero((bound >= reach) & (x_ids != q_ids[i]))
         for query_stats, block_stats in stats[1:]:
             alive = alive[block_stats[alive] @ query_stats[i] + slack[i] >= reach]
         score = x[alive] @ q[i]
+        alive, score = alive[score >= reach], score[score >= reach]
         best = np.lexsort((alive, -score))[:k]  # rows are in id order
-        out += [(i, int(x_ids[a]), int(s)) for a, s in zip(alive[best], score[best])]
+        out += [(int(i), int(x_ids[a]), int(s)) for a, s in zip(alive[best], score[best])]
     return out
 
 
@@ -152,8 +164,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE,
     across, down = (max(1, math.ceil(sizes.get(q, 0) * CHUNK / size)) for q, size in ((False, CELL_CANDIDATES), (True, CELL_QUERIES)))
     own = lambda m: F.pmod(F.xxhash64("part", "chunk"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    candidates = packed.where("not is_query").withColumn("x", own(across)).withColumn("y", every(down))
-    queries = packed.where("is_query").withColumn("y", own(down)).withColumn("x", every(across))
+    candidates = packed.where("not is_query").withColumn("x", own(across))
+    queries = packed.where("is_query").withColumn("y", own(down))
+
+    def probe(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """A block of distinct queries, each with the k-th score of one block of candidates."""
+        if not len(right):
+            return pd.DataFrame(columns=["dim", "y", "ids", "vectors", "floors"])
+        q_ids, q = _unpack(right, key[0])
+        once = np.unique(np.column_stack([q_ids.view(np.float64), q]).view(f"V{8 * (q.shape[1] + 1)}").ravel(), return_index=True)[1]
+        q_ids, q = q_ids[once], q[once]
+        floors = np.full(len(q), -np.inf)
+        if len(left):
+            x_ids, x = _unpack(left, key[0])
+            found = pd.DataFrame(search_block(q_ids, quantised(q, scale), x_ids, quantised(x, scale), k, levels), columns=["q", "vec_id", "score"])
+            full = found.groupby("q")["score"].agg(["size", "min"])
+            full = full[(full["size"] == k) & (full["min"].abs() < EXACT)]
+            floors[full.index.to_numpy(int)] = full["min"].to_numpy(float)
+        return pd.DataFrame([{"dim": key[0], "y": key[1], "ids": q_ids.tobytes(), "vectors": q.tobytes(), "floors": floors.tobytes()}])
+
+    first = candidates.where("x = 0").withColumn("y", every(down))
+    asked = first.groupBy("dim", "y").cogroup(queries.groupBy("dim", "y")).applyInPandas(probe, "dim int, y int, ids binary, vectors binary, floors binary")
+    asked = stored(asked, "queries").withColumn("x", every(across))
 
     def cell(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "vec_id", "score"]
@@ -161,12 +193,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE,
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
         x_ids, x = _unpack(left, key[0])
         q_ids, q = _unpack(right, key[0])
-        once = np.unique(np.column_stack([q_ids.view(np.float64), q]).view(f"V{8 * (q.shape[1] + 1)}").ravel(), return_index=True)[1]
-        q_ids, q = q_ids[once], q[once]
-        found = search_block(q_ids, quantised(q, scale), x_ids, quantised(x, scale), k, levels)
+        floors = np.frombuffer(b"".join(right["floors"]), "<f8")
+        found = search_block(q_ids, quantised(q, scale), x_ids, quantised(x, scale), k, levels, floors)
         return pd.DataFrame([(int(q_ids[i]), v, s) for i, v, s in found], columns=names, dtype="int64")
 
-    partial = candidates.groupBy("dim", "x", "y").cogroup(queries.groupBy("dim", "x", "y")).applyInPandas(cell, "query_id long, vec_id long, score long")
+    grid = candidates.withColumn("y", every(down)).groupBy("dim", "x", "y").cogroup(asked.groupBy("dim", "x", "y"))
+    partial = grid.applyInPandas(cell, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

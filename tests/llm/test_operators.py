@@ -94,6 +94,18 @@ def test_topk_of_nothing_and_of_huge_numbers(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("candidates,queries", [(40, 3), (8192, 2048)])
+def test_topk_over_many_cells(spark, monkeypatch, candidates, queries):
+    monkeypatch.setattr(topk, "CHUNK", 8)
+    monkeypatch.setattr(topk, "CELL_CANDIDATES", candidates)
+    monkeypatch.setattr(topk, "CELL_QUERIES", queries)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)]  # many ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=4).collect())
+    assert got == search([r for r in rows if r[0] % 50 == 0], rows, 4)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     q, x = rng.normal(size=(5, 30)), rng.normal(size=(40, 30))
@@ -117,6 +129,21 @@ def test_fm_index_equals_brute_force():
                 assert length[a + i] == best
 
 
+def test_minima_and_least_equal_brute_force():
+    from cairngraph.llm.fmindex import Minima, WaveletMatrix
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 17, 64, 100):
+        values = rng.integers(0, 6, n).astype(np.uint8)
+        values[0] = 0
+        tree = Minima(values)
+        at, bound = rng.integers(0, n, 50), rng.integers(1, 7, 50)
+        assert tree.before(at, bound).tolist() == [max(j for j in range(a + 1) if values[j] < b) for a, b in zip(at, bound)]
+        assert tree.after(at, bound).tolist() == [next((j for j in range(a, n) if values[j] < b), n) for a, b in zip(at, bound)]
+        high = np.array([rng.integers(a + 1, n + 1) for a in at])
+        assert WaveletMatrix(values.astype(np.int64), 7).least(at, high).tolist() == [int(values[a:b].min()) for a, b in zip(at, high)]
+
+
 @pytest.mark.parametrize("hot", [substring.HOT, 1])
 def test_substring_equals_brute_force(corpus, pairs, monkeypatch, hot):
     monkeypatch.setattr(substring, "HOT", hot)  # both ways of comparing classes
