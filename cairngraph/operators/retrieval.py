@@ -55,15 +55,18 @@ def match_tokens(queries: DataFrame, names: DataFrame, longest: int = 4) -> Data
 
 
 def match_substring(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(query_id, name) where the lower-cased name occurs in the lower-cased text.
+    """(query_id, name) where the lower-cased name, of any length but 0, occurs in the lower-cased text.
 
-    Each name is found through its first three characters: the text's trigrams meet the names' in an equi-join,
-    then the whole name is checked.  Names of fewer than three characters do not match.
+    Each name is found through its first characters, three at most: those of the texts meet those of the names in an
+    equi-join that carries no text.  Longer names are then checked against the text of their few candidates.
     """
-    text = queries.select("query_id", F.lower("text").alias("t")).where(F.length("t") >= 3)
-    grams = text.select("query_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, F.lit(3))))).alias("g"))
-    keyed = names.where(F.length("name") >= 3).select("name", F.lower("name").alias("n")).withColumn("g", F.substring("n", 1, 3))
-    return grams.join(keyed, "g").where(F.instr("t", F.col("n")) > 0).select("query_id", "name").distinct()
+    text = queries.select("query_id", F.lower("text").alias("t"))
+    runs = lambda n: F.when(F.length("t") >= n, F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring("t", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = text.select("query_id", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in (1, 2, 3)])))).alias("g"))
+    keyed = names.where(F.length("name") > 0).select("name", F.lower("name").alias("n")).withColumn("g", F.substring("n", 1, 3))
+    found = grams.join(keyed, "g").select("query_id", "name", "n").distinct()
+    long = found.where(F.length("n") > 3).join(text, "query_id").where(F.contains("t", F.col("n")))
+    return found.where(F.length("n") <= 3).select("query_id", "name").unionByName(long.select("query_id", "name")).distinct()
 
 
 def expand(seeds: DataFrame, edges: DataFrame, max_terms: int, membership: DataFrame | None = None) -> DataFrame:
@@ -71,9 +74,9 @@ def expand(seeds: DataFrame, edges: DataFrame, max_terms: int, membership: DataF
 
     Seeds are left out; neighbours come first, then by name; at most ``max_terms`` a query, a parameter.
     """
-    out = seeds.join(edges.select("src", "dst"), F.col("id") == F.col("src")).select("query_id", F.col("dst").alias("term"), F.lit(0).alias("tier"))
-    into = seeds.join(edges.select("src", "dst"), F.col("id") == F.col("dst")).select("query_id", F.col("src").alias("term"), F.lit(0).alias("tier"))
-    rows = out.unionByName(into)
+    # one reading of the edges gives both directions
+    either = edges.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("term")), F.struct(F.col("dst").alias("id"), F.col("src").alias("term")))))
+    rows = seeds.join(either, "id").select("query_id", "term", F.lit(0).alias("tier"))
     if membership is not None:
         own = seeds.join(membership.withColumnRenamed("node", "id"), "id").select("query_id", "community").distinct()
         rows = rows.unionByName(own.join(membership, "community").select("query_id", F.col("node").alias("term"), F.lit(1).alias("tier")))

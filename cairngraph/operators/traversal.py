@@ -1,6 +1,7 @@
 """Traversal kernel: one level-synchronous frontier loop, in set mode and in path mode.
 
-Set mode keeps a node's first hop.  A level is one equi-join of the frontier with the
+The adjacency is read once and stored as pairs of ids; every level reads those.  Set
+mode keeps a node's first hop.  A level is one equi-join of the frontier with the
 adjacency and one anti-join with what is known; each level is written once and never
 recomputed.  Path mode carries the nodes of every path and forbids repeated nodes, so
 it is for short, bounded depths.  Operators differ only in the adjacency they hand in.
@@ -28,7 +29,9 @@ def backward(edges: DataFrame) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return forward(edges).unionByName(backward(edges))
+    """Every edge in both directions, from one reading of the edges."""
+    turn = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.col("type").alias("type"))
+    return edges.select(F.inline(F.array(turn("src", "dst"), turn("dst", "src"))))
 
 
 def of_types(edges: DataFrame, types: Sequence[str] | None) -> DataFrame:
@@ -40,7 +43,7 @@ def reach(seeds: DataFrame, adjacency: DataFrame, max_hops: int | None = None) -
 
     Without a bound the loop runs to its fixpoint.
     """
-    links = adjacency.select("src", "dst").distinct()
+    links = cut(adjacency.select("src", "dst"))
     known = cut(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
     front = known
     for hop in range(1, (max_hops or MAX_HOPS) + 1):
@@ -56,7 +59,7 @@ def reach(seeds: DataFrame, adjacency: DataFrame, max_hops: int | None = None) -
 
 def reach_pairs(seeds: DataFrame, adjacency: DataFrame, max_hops: int) -> DataFrame:
     """(seed, id, hop) for many seeds at once, without the seed itself."""
-    links = adjacency.select("src", "dst").distinct()
+    links = cut(adjacency.select("src", "dst"))
     known = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop")).distinct())
     front = known
     for hop in range(1, max_hops + 1):
@@ -70,7 +73,7 @@ def reach_pairs(seeds: DataFrame, adjacency: DataFrame, max_hops: int) -> DataFr
 
 def first_paths(seeds: DataFrame, adjacency: DataFrame, max_hops: int) -> DataFrame:
     """(id, hop, path): a shortest path to each reachable node, the smallest array of ids among those."""
-    links = adjacency.select("src", "dst").distinct()
+    links = cut(adjacency.select("src", "dst"))
     known = cut(seeds.select("id").distinct().select("id", F.lit(0).alias("hop"), F.array("id").alias("path")))
     front = known
     for hop in range(1, max_hops + 1):
@@ -88,15 +91,14 @@ def first_paths(seeds: DataFrame, adjacency: DataFrame, max_hops: int) -> DataFr
 
 def paths(seeds: DataFrame, adjacency: DataFrame, depth: int) -> DataFrame:
     """(hop, nodes, types): all acyclic paths of 1..depth edges from the seeds."""
+    links = cut(adjacency.select("src", "dst", "type"))
     state = seeds.select(F.col("id").alias("at"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("types"))
     levels = []
     for hop in range(1, depth + 1):
-        state = (
-            adjacency.select("src", "dst", "type")
-            .join(state, F.col("src") == F.col("at"))
-            .where(~F.array_contains("nodes", F.col("dst")))
-            .select(F.col("dst").alias("at"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("types", F.col("type")).alias("types"))
-        )
+        step = links.join(state, F.col("src") == F.col("at")).where(~F.array_contains("nodes", F.col("dst")))
+        state = step.select(F.col("dst").alias("at"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("types", F.col("type")).alias("types"))
+        if hop < depth:
+            state = cut(state)
         levels.append(state.select(F.lit(hop).alias("hop"), "nodes", "types"))
     out = levels[0]
     for level in levels[1:]:

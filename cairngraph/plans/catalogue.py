@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cairngraph.plans import graph_queries, text_queries, upkeep_queries
+from cairngraph.plans import graph_queries, lookup_queries, text_queries, upkeep_queries
 from cairngraph.plans.registry import ORACLES, QUERIES, Query
 
-__all__ = ["graph_queries", "oracle_sql", "queries", "text_queries", "upkeep_queries"]
+__all__ = ["graph_queries", "lookup_queries", "oracle_sql", "queries", "text_queries", "upkeep_queries"]
 
 
 def queries() -> dict[str, Query]:

@@ -13,14 +13,15 @@ from cairngraph.operators import traversal as T
 from cairngraph.plans.registry import query
 from cairngraph.sources.tables import EDGES_SQL, driver_edges, key, table
 
-#: Word boundaries are defined alike for ASCII texts only; both engines keep to those.
-ASCII = "length(text) = octet_length(text)"
-ASCII_SQL = "ascii_docs AS (SELECT doc_id, source, text FROM documents WHERE length(text) = strlen(text))"
+#: DuckDB's word boundaries know ASCII only.  A letter of another kind becomes an underscore there, which is a word
+#: character too and in no pattern, so that boundaries fall where Java has them.
+LETTERS = "[\\x{AA}\\x{B5}\\x{BA}\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]"
+DOCS_SQL = f"docs AS (SELECT doc_id, source, regexp_replace(text, '{LETTERS}', '_', 'g') AS text FROM documents)"
 STOP = ("THE", "AND", "OR", "FOR", "IS", "TO", "OF", "BY", "AT", "ON", "AS", "IF", "IN", "IT", "BE", "WITH", "FROM", "THAT", "THIS", "WAS", "ARE", "The", "This", "That", "And", "For")
 
 
-def ascii_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where(ASCII).select("doc_id", "source", "text")
+def all_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "source", "text")
 
 
 def stopwords(spark: SparkSession) -> DataFrame:
@@ -29,21 +30,21 @@ def stopwords(spark: SparkSession) -> DataFrame:
 
 @query(
     "prose_entities_acronym",
-    f"""WITH {ASCII_SQL}, m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(?m)^#{{1,6}}\\s+.*$', '', 'g'), '\\b[A-Z][A-Z0-9]{{1,9}}\\b')) AS name FROM ascii_docs)
+    f"""WITH {DOCS_SQL}, m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(?m)^#{{1,6}}\\s+.*$', '', 'g'), '\\b[A-Z][A-Z0-9]{{1,9}}\\b')) AS name FROM docs)
     SELECT doc_id, name, 'acronym' AS type FROM m WHERE name NOT IN {STOP}""",
 )
 def prose_entities_acronym(spark, sf):
-    found = X.extract_entities(ascii_docs(spark, sf), stopwords(spark)).where("kind = 'acronym'")
+    found = X.extract_entities(all_docs(spark, sf), stopwords(spark)).where("kind = 'acronym'")
     return found.select("doc_id", "name", "type")
 
 
 @query(
     "prose_entities_phrase",
-    f"""WITH {ASCII_SQL}, m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(?m)^#{{1,6}}\\s+.*$', '', 'g'), '\\b[A-Z][a-z]{{2,}}(?: [A-Z][a-z]{{2,}}){{1,2}}\\b')) AS name FROM ascii_docs)
+    f"""WITH {DOCS_SQL}, m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(?m)^#{{1,6}}\\s+.*$', '', 'g'), '\\b[A-Z][a-z]{{2,}}(?: [A-Z][a-z]{{2,}}){{1,2}}\\b')) AS name FROM docs)
     SELECT doc_id, name FROM m WHERE len(list_intersect(string_split(name, ' '), {list(STOP)})) = 0""",
 )
 def prose_entities_phrase(spark, sf):
-    return X.extract_entities(ascii_docs(spark, sf), stopwords(spark)).where("kind = 'phrase'").select("doc_id", "name")
+    return X.extract_entities(all_docs(spark, sf), stopwords(spark)).where("kind = 'phrase'").select("doc_id", "name")
 
 
 @query(
@@ -56,24 +57,21 @@ def entity_type(spark, sf):
     return names.groupBy(X.entity_type(F.col("name")).alias("type")).agg(F.count("*").alias("n"))
 
 
-IS_A = r"(\b[A-Z][A-Za-z\s\-]{2,30}?)\s+is\s+an?\s+(\b[a-z][a-z\s\-]{2,50})\b"
+IS_A = X.RELATIONS["is_a"]
 
 
 @query(
     "prose_is_a",
-    f"""WITH {ASCII_SQL}, s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '(?m)^#{{1,6}}\\s+.*$', '', 'g'), '[.!?\\n]\\s*')) AS s FROM ascii_docs),
+    f"""WITH {DOCS_SQL}, s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '(?m)^#{{1,6}}\\s+.*$', '', 'g'), '[.!?\\n]\\s*')) AS s FROM docs),
     m AS (SELECT doc_id, trim(regexp_extract(s, '{IS_A}', 1)) AS subject, regexp_split_to_array(trim(regexp_extract(s, '{IS_A}', 2)), '\\s+') AS o FROM s WHERE length(trim(s)) >= 10 AND regexp_matches(s, '{IS_A}'))
     SELECT DISTINCT doc_id, subject, array_to_string(o[1:4], ' ') AS object FROM m""",
 )
 def prose_is_a(spark, sf):
-    docs = ascii_docs(spark, sf)
+    docs = all_docs(spark, sf)
     facts = X.extract_relations(docs, docs.select("doc_id", F.lit("").alias("name")))
     return facts.where("predicate = 'is_a'").select("doc_id", "subject", "object")
 
 
-LONG = r"([A-Z][a-z]+(?:[\s\-]+[A-Za-z]+){1,5})\s+\(([A-Z][A-Z0-9]{1,9})\)"
-
-
 @query("acronym_alias")
 def acronym_alias(spark, sf):
     """Documents and, as they hold none, two literal rows."""
@@ -109,14 +107,14 @@ def md_inline_code(spark, sf):
 
 @query(
     "doc_reference_join",
-    f"""WITH {ASCII_SQL}, t AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS ref_text FROM ascii_docs),
-    n AS (SELECT source, ref_text, min(doc_id) AS first_doc FROM t GROUP BY source, ref_text HAVING count(*) BETWEEN 2 AND 5)
+    """WITH t AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS ref_text FROM documents),
+    n AS (SELECT source, ref_text, min(doc_id) AS first_doc FROM t GROUP BY source, ref_text HAVING count(*) > 1)
     SELECT t.doc_id, 'doc:' || n.first_doc AS id, t.ref_text FROM t JOIN n ON t.source = n.source AND t.ref_text = n.ref_text""",
 )
 def doc_reference_join(spark, sf):
-    docs = ascii_docs(spark, sf)
+    docs = all_docs(spark, sf)
     tokens = docs.select("doc_id", "source", F.explode(X.whole_tokens(F.col("text"))).alias("name"))
-    names = tokens.groupBy("source", "name").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n BETWEEN 2 AND 5").select("source", "name", key("doc", "first").alias("id"))
+    names = tokens.groupBy("source", "name").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("source", "name", key("doc", "first").alias("id"))
     return X.references(docs, names, "source")
 
 
@@ -136,14 +134,14 @@ def term_index(spark, sf):
     return Q.term_index(parts(spark, sf))
 
 
-@query("match_terms", f"{PARTS_SQL} SELECT word, term, mentions FROM ix WHERE word IN (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) FROM part WHERE p_size > 45)")
+@query("match_terms", f"{PARTS_SQL} SELECT word, term, mentions FROM ix WHERE word IN (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) FROM part)")
 def match_terms(spark, sf):
-    words = table(spark, sf, "part").where("p_size > 45").select(F.explode(F.split("p_name", " ")).alias("word"))
+    words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
     return Q.match_terms(Q.term_index(parts(spark, sf)), words)
 
 
 QUERIES_SQL = "q AS (SELECT p_partkey AS query_id, CASE WHEN p_size < 10 THEN 'zzz ' || p_brand ELSE 'Find-' || p_name END AS text FROM part)"
-NORMAL = "trim(regexp_replace(regexp_replace(lower(text), '[-_]', ' ', 'g'), '\\s+', ' ', 'g'))"
+NORMAL = "trim(regexp_replace(regexp_replace(lower(text), '[-_]', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,17 +161,17 @@ def match_kg_query(spark, sf):
     return Q.match_query(Q.term_index(parts(spark, sf)), asked(spark, sf), 5, 3)
 
 
-@query("query_normalise", f"WITH q AS (SELECT doc_id, text FROM documents WHERE length(text) = strlen(text)) SELECT doc_id, {NORMAL} AS text FROM q")
+@query("query_normalise", f"SELECT doc_id, {NORMAL} AS text FROM documents")
 def query_normalise(spark, sf):
-    return ascii_docs(spark, sf).select("doc_id", Q.normalise(F.col("text")).alias("text"))
+    return all_docs(spark, sf).select("doc_id", Q.normalise(F.col("text")).alias("text"))
 
 
 def first_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Names to look for: the words of five or more letters of the benchmark texts."""
-    return table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("name")).distinct()
+    """Names to look for: the lower-case words of the benchmark texts, of one letter and more."""
+    return table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("name")).distinct()
 
 
-NAMES_SQL = "n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS name FROM benchmark)"
+NAMES_SQL = "n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS name FROM benchmark)"
 
 
 @query("entity_match_substring", f"WITH {NAMES_SQL} SELECT item_id AS query_id, name FROM benchmark b JOIN n ON contains(lower(b.text), lower(n.name))")
@@ -183,11 +181,11 @@ def entity_match_substring(spark, sf):
 
 @query(
     "entity_match_token",
-    f"""WITH {NAMES_SQL}, d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[^\\w\\s-]', ' ', 'g')), '[-_]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents WHERE length(text) = strlen(text)),
+    f"""WITH {NAMES_SQL}, d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[^\\w\\s-]', ' ', 'g')), '[-_]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents),
     w AS (SELECT DISTINCT doc_id, unnest(string_split(t, ' ')) AS name FROM d) SELECT doc_id AS query_id, name FROM w JOIN n USING (name)""",
 )
 def entity_match_token(spark, sf):
-    docs = ascii_docs(spark, sf).select(F.col("doc_id").alias("query_id"), "text")
+    docs = all_docs(spark, sf).select(F.col("doc_id").alias("query_id"), "text")
     return Q.match_tokens(docs, first_words(spark, sf), 1)
 
 

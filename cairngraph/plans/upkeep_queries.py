@@ -313,10 +313,10 @@ def orphan_gc(spark, sf):
     return L.orphan_origins(origins, table(spark, sf, "labels").select(key("origin", "doc_id").alias("origin_id")))
 
 
-@query("source_at", "SELECT doc_id, substr(text, 4, 9) AS piece FROM documents WHERE length(text) = strlen(text)")
+@query("source_at", "SELECT doc_id, substr(hex(encode(text)), 7, 18) AS piece FROM documents")
 def source_at(spark, sf):
-    docs = table(spark, sf, "documents").where("length(text) = octet_length(text)")
-    return docs.select("doc_id", L.source_at(F.col("text"), F.lit(3), F.lit(12)).cast("string").alias("piece"))
+    """Bytes 3 to 12 of every text, as hexadecimal: a slice may begin or end within a character."""
+    return table(spark, sf, "documents").select("doc_id", F.hex(L.source_at(F.col("text"), F.lit(3), F.lit(12))).alias("piece"))
 
 
 @query(

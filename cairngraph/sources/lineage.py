@@ -5,19 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame under ``spark.checkpoint.dir`` and read it back; a temporary folder only where that is unset."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where that is unset in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="cairngraph-"))
         base = _OWN[0]
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame in the shared folder and read it back."""
+    path = f"{shared(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
