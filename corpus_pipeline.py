@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs; all but the last return the
 columns of ``documents``.
+
+Defined cases, in every stage: an empty table stays empty; columns beyond those of
+``documents`` are carried along; texts of any length are read whole; rows that share
+a doc_id are one document to line dedup and near-dedup and rows of their own to the
+others; a row with a null doc_id is kept by near-dedup and no reason to be dropped
+elsewhere.  Null and empty texts are rejected by language ID, have no line and no
+word after it, and pack as the end id alone.
 """
 
 from __future__ import annotations
