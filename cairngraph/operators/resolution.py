@@ -1,7 +1,6 @@
 """Entity resolution and communities.
 
-Greedy merging is sequential by definition; it runs inside the type it concerns on
-candidate pairs only.  Leiden has no Spark form; connected components and a
+Greedy merging is defined as a pass in order; its outcome is found by two grouped minima.  Leiden has no Spark form; connected components and a
 deterministic label propagation stand in, under their own names.
 """
 
@@ -10,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairngraph.operators import similar
 from cairngraph.sources.lineage import cut
 
 
@@ -28,17 +28,9 @@ def alias_candidates(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.select("canonical", "duplicate", F.lit(1.0).alias("similarity"), F.lit("alias").alias("reason")).distinct()
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def cosine_pairs(vectors: DataFrame, group: str, threshold: float) -> DataFrame:
-    """(a, b, similarity) with a < b of equal group: the pairs of each group, compared within it."""
-    normed = vectors.withColumn("norm", F.sqrt(dot("embedding", "embedding"))).where("norm > 0")
-    a = normed.select(F.col("id").alias("a"), F.col(group).alias("g"), F.col("embedding").alias("ea"), F.col("norm").alias("na"))
-    b = normed.select(F.col("id").alias("b"), F.col(group).alias("h"), F.col("embedding").alias("eb"), F.col("norm").alias("nb"))
-    pairs = a.join(b, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")))
-    return pairs.withColumn("similarity", dot("ea", "eb") / (F.col("na") * F.col("nb"))).where(F.col("similarity") >= threshold).select("a", "b", "g", "similarity")
+    """(a, b, g, similarity) with a < b of equal group: all pairs of each group, compared within it."""
+    return similar.pairs(vectors, group, threshold)
 
 
 def greedy_merge(pairs: DataFrame) -> DataFrame:
