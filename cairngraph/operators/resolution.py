@@ -34,27 +34,24 @@ def cosine_pairs(vectors: DataFrame, group: str, threshold: float) -> DataFrame:
 
 
 def greedy_merge(pairs: DataFrame) -> DataFrame:
-    """(canonical, duplicate, similarity): within each group g, pairs (a, b, mentions_a, mentions_b) in order.
+    """(canonical, duplicate, similarity): within each group g, distinct pairs (a, b, mentions_a, mentions_b), a < b, in order.
 
     The name with more mentions wins, the smaller one on a tie; what has been absorbed is not absorbed
     again, though it may still absorb others later in the order.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        out = []
-        for r in pdf.sort_values(["a", "b"]).itertuples():
-            if r.b in gone:
-                continue
-            keep, drop = (r.a, r.b) if r.mentions_a >= r.mentions_b else (r.b, r.a)
-            if drop in gone:
-                continue
-            gone.add(drop)
-            out.append((keep, drop, r.similarity))
-        return pd.DataFrame(out, columns=["canonical", "duplicate", "similarity"])
-
-    kind = dict(pairs.dtypes)["a"]
-    return pairs.groupBy("g").applyInPandas(run, f"canonical {kind}, duplicate {kind}, similarity double")
+    As every (a, x) comes before every (x, b), no pass in order is needed.  A name that loses a pair as its larger
+    name goes to the smallest ``a`` of those.  Any other goes to the first ``b`` with more mentions that has not gone
+    before, that is, to one that did not lose to a smaller name than itself.
+    """
+    wins = F.coalesce(F.col("mentions_a") >= F.col("mentions_b"), F.lit(False))
+    sides = pairs.select("g", "a", "b", "similarity", wins.alias("wins"))
+    first = sides.where("wins").groupBy("g", F.col("b").alias("duplicate")).agg(F.min(F.struct(F.col("a").alias("canonical"), "similarity")).alias("m"))
+    gone = first.select("g", "duplicate", F.col("m.canonical").alias("by"))
+    as_b = gone.select("g", F.col("duplicate").alias("b"), F.col("by").alias("b_by"))
+    as_a = gone.select("g", F.col("duplicate").alias("a"))
+    rest = sides.where("NOT wins").join(as_b, ["g", "b"], "left").where("b_by IS NULL OR b_by > a").join(as_a, ["g", "a"], "left_anti")
+    later = rest.groupBy("g", F.col("a").alias("duplicate")).agg(F.min(F.struct(F.col("b").alias("canonical"), "similarity")).alias("m"))
+    return first.unionByName(later).select("m.canonical", "duplicate", "m.similarity")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -1,8 +1,32 @@
 """Similar vectors in cells, and what is made of their pairs."""
 
+import random
+
 import numpy as np
 
-from cairngraph.operators import similar
+from cairngraph.operators import resolution, similar
+
+
+def merged_in_order(rows):
+    """The definition of ``greedy_merge``, pair by pair."""
+    gone, out = set(), set()
+    for a, b, g, s, m, n in sorted(rows):
+        keep, drop = (a, b) if m >= n else (b, a)
+        if (g, b) not in gone and (g, drop) not in gone:
+            gone.add((g, drop))
+            out.add((keep, drop, s))
+    return out
+
+
+def test_greedy_merge_without_a_pass_in_order(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(40):
+        mentions = [rng.randint(1, 3) for _ in range(12)]
+        rows += [(g * 100 + a, g * 100 + b, g, rng.random(), mentions[a], mentions[b]) for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.3]
+    merged = resolution.greedy_merge(spark.createDataFrame(rows, "a int, b int, g int, similarity double, mentions_a int, mentions_b int"))
+    assert {tuple(r) for r in merged.select("canonical", "duplicate", "similarity").collect()} == merged_in_order(rows)
+    assert "FlatMapGroups" not in merged._jdf.queryExecution().executedPlan().toString()
 
 
 def test_similar_pairs_in_cells(spark):
