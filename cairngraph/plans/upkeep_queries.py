@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairngraph.operators import audit as A
 from cairngraph.operators import fusion as U
 from cairngraph.operators import resolution as R
+from cairngraph.operators import similar
 from cairngraph.plans.registry import query
 from cairngraph.sources import lifecycle as L
 from cairngraph.sources.tables import key, table
@@ -259,7 +260,8 @@ def embedding_merges(spark, sf):
     r(node, other) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.other) SELECT node, min(other) AS component FROM r GROUP BY node""",
 )
 def components(spark, sf):
-    return R.connected_components(R.cosine_pairs(vectors(spark, sf), "label", 0.3).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    # edges with the same components as all pairs have, without listing the pairs
+    return R.connected_components(similar.links(vectors(spark, sf), "label", 0.3))
 
 
 @query(

@@ -46,3 +46,13 @@ def test_similar_pairs_in_cells(spark):
         for r in similar.pairs(df, "label", 0.9, block).collect():
             got.setdefault((r.a, r.b, r.g), []).append(round(r.similarity, 9))
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+        edges = spark.createDataFrame([(a, b) for a, b, _ in want], "src long, dst long")
+        members = lambda df: {tuple(r) for r in resolution.connected_components(df).collect()}
+        assert members(similar.links(df, "label", 0.9, block)) == members(edges)
+
+
+def test_similar_vectors_are_not_listed_to_find_components(spark):
+    """300 copies of one vector are 44850 pairs, but 299 links."""
+    df = spark.createDataFrame([(i, 0, [1.0, 2.0]) for i in range(300)], "id long, label int, embedding array<float>")
+    assert similar.pairs(df, "label", 0.3).count() == 44850
+    assert similar.links(df, "label", 0.3).count() == 299
