@@ -82,8 +82,12 @@ def communities(membership: DataFrame, min_size: int = 3) -> DataFrame:
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, label): each round a node takes its neighbours' heaviest label, the smallest on a tie."""
-    links = cut(edges.where("src <> dst").select("src", "dst", "weight").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    """(node, label): each round a node takes its neighbours' heaviest label, the smallest on a tie.
+
+    Give whole numbers as weights where ties matter: their sums do not depend on an order.
+    """
+    # one reading of the edges gives both directions
+    links = cut(edges.where("src <> dst").select(F.inline(F.array(F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))))
     labels = links.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct()
     for _ in range(rounds):
         votes = links.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("weight").alias("w"))

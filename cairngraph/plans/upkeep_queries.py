@@ -276,7 +276,9 @@ def community_edges(spark, sf):
 
 @query("label_communities")
 def label_communities(spark, sf):
-    edges = R.cosine_pairs(vectors(spark, sf), "label", 0.3).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round("similarity", 6).alias("weight"))
+    # similarities to six places, as whole millionths: votes add up without rounding
+    millionths = F.when(~F.isnan("similarity"), F.round(F.round("similarity", 6) * 1_000_000).cast("long")).otherwise(F.lit(0).cast("long"))
+    edges = R.cosine_pairs(vectors(spark, sf), "label", 0.3).select(F.col("a").alias("src"), F.col("b").alias("dst"), millionths.alias("weight"))
     return R.label_propagation(edges, 4)
 
 

@@ -56,3 +56,19 @@ def test_similar_vectors_are_not_listed_to_find_components(spark):
     df = spark.createDataFrame([(i, 0, [1.0, 2.0]) for i in range(300)], "id long, label int, embedding array<float>")
     assert similar.pairs(df, "label", 0.3).count() == 44850
     assert similar.links(df, "label", 0.3).count() == 299
+
+
+def test_label_propagation_reads_its_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(1, 2, 5), (2, 3, 5), (1, 3, 5), (7, 8, 1)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight long")
+    labels = resolution.label_propagation(edges.mapInArrow(counted, edges.schema), 2)
+    # 1 and 2 hear 2 and 1 first, 3 hears 1; then everyone but 1 hears 1 at least as loud
+    assert dict(labels.collect()) == {1: 1, 2: 1, 3: 1, 7: 7, 8: 8}
+    assert read.value == len(rows)
