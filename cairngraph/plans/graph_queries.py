@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairngraph.operators import traversal as T
 from cairngraph.plans.intents import Anchor, FilterIntent, NeighborhoodIntent, TraverseIntent, run_pattern
 from cairngraph.plans.registry import query
+from cairngraph.sources.lineage import dealt
 from cairngraph.sources.tables import EDGES_SQL, NODES_SQL, driver_edges, driver_nodes, key, table
 
 WITH = f"WITH {NODES_SQL}, {EDGES_SQL}"
@@ -76,7 +77,7 @@ def hop_union_types(spark, sf):
 )
 def edge_degree_stats(spark, sf):
     edges = driver_edges(spark, sf)
-    degree = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    degree = dealt(edges.select(F.explode(F.array("src", "dst")).alias("id")), "id").groupBy("id").agg(F.count("*").alias("degree"))
     top = degree.orderBy(F.col("degree").desc(), "id").limit(10)
     totals = driver_nodes(spark, sf).agg(F.count("*").alias("n_nodes")).crossJoin(edges.agg(F.count("*").alias("n_edges")))
     return top.crossJoin(F.broadcast(totals))  # one row of totals

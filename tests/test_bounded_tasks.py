@@ -40,3 +40,13 @@ def test_match_query_is_in_bounded_tasks(spark, table):
     expected += [(q, i + 1, n, True) for q, _ in asked if not terms[q] for i, n in enumerate(order(counts)[:3])]
     assert rows == sorted(expected)
     assert any(n > 4 for n in partitions(found))
+
+
+def test_degrees_are_in_bounded_tasks(spark, monkeypatch):
+    from cairngraph.plans import catalogue
+    from cairngraph.sources.tables import driver_edges
+
+    monkeypatch.setattr(lineage, "TASK_BYTES", 10_000)
+    sf = "/root/testdata/sf0.001"
+    assert all(n > 4 for n in partitions(driver_edges(spark, sf)))
+    assert all(n > 4 for n in partitions(catalogue.queries()["edge_degree_stats"](spark, sf)))
