@@ -50,3 +50,11 @@ def test_degrees_are_in_bounded_tasks(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     assert all(n > 4 for n in partitions(driver_edges(spark, sf)))
     assert all(n > 4 for n in partitions(catalogue.queries()["edge_degree_stats"](spark, sf)))
+
+
+def test_context_lines_take_one_exchange(spark, table):
+    edges = table([("a", "t", f"b{i:02d}") for i in range(30)] * 2, "src string, type string, dst string")
+    found = retrieval.context_lines(edges, 2)
+    (n,) = partitions(found)
+    assert n > 4
+    assert [r.context for r in found.collect()] == ["a --[t]--> b00; a --[t]--> b01"]
