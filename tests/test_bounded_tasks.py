@@ -58,3 +58,10 @@ def test_context_lines_take_one_exchange(spark, table):
     (n,) = partitions(found)
     assert n > 4
     assert [r.context for r in found.collect()] == ["a --[t]--> b00; a --[t]--> b01"]
+
+
+def test_expand_leaves_seeds_out_in_bounded_tasks(spark, table):
+    edges = table([("a", "b"), ("b", "c"), ("a", "c"), ("d", "a")], "src string, dst string")
+    found = retrieval.expand(spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "query_id int, id string"), edges, 5)
+    assert sorted((r.query_id, r["rank"], r.term) for r in found.collect()) == [(1, 1, "c"), (1, 2, "d"), (2, 1, "a"), (2, 2, "c")]
+    assert any(n > 4 for n in partitions(found))
