@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cairngraph.functions.text import whole_tokens
 from cairngraph.operators.traversal import reach_pairs
+from cairngraph.sources.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -144,7 +145,8 @@ def add_roles(known: DataFrame, found: DataFrame) -> DataFrame:
 
 def of_type_edges(signals: DataFrame, types: DataFrame) -> DataFrame:
     """(src, dst, type): typed signals (id, type_name) to type nodes (id, name), or to ``_unresolved.<name>``."""
-    index = types.groupBy("name").agg(F.min("id").alias("dst"))
+    # stored, so that its size is known: a small index leaves the signals, of few types each with very many, where they are
+    index = cut(types.groupBy("name").agg(F.min("id").alias("dst")))
     joined = signals.join(index, F.col("type_name") == F.col("name"), "left")
     return joined.select(F.col("id").alias("src"), F.coalesce("dst", F.concat(F.lit("_unresolved."), F.col("type_name"))).alias("dst"), F.lit("OF_TYPE").alias("type"))
 

@@ -65,3 +65,12 @@ def test_expand_leaves_seeds_out_in_bounded_tasks(spark, table):
     found = retrieval.expand(spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "query_id int, id string"), edges, 5)
     assert sorted((r.query_id, r["rank"], r.term) for r in found.collect()) == [(1, 1, "c"), (1, 2, "d"), (2, 1, "a"), (2, 2, "c")]
     assert any(n > 4 for n in partitions(found))
+
+
+def test_typed_signals_stay_where_they_are(spark):
+    """Two type names over many signals: no exchange of the signals, whatever the plan thinks of the types' source."""
+    signals = spark.range(1000).selectExpr("CAST(id AS STRING) AS id", "IF(id % 2 = 0, 'x', 'y') AS type_name")
+    types = spark.range(5_000_000).selectExpr("CAST(id AS STRING) AS id", "'x' AS name")
+    found = connectors.of_type_edges(signals, types)
+    assert partitions(found) == []
+    assert {(int(r.src) % 2, r.dst) for r in found.collect()} == {(0, "0"), (1, "_unresolved.y")}
