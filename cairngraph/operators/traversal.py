@@ -71,9 +71,17 @@ def reach_pairs(seeds: DataFrame, adjacency: DataFrame, max_hops: int) -> DataFr
     return known.where("hop > 0")
 
 
-def first_paths(seeds: DataFrame, adjacency: DataFrame, max_hops: int) -> DataFrame:
-    """(id, hop, path): a shortest path to each reachable node, the smallest array of ids among those."""
+def first_paths(seeds: DataFrame, adjacency: DataFrame, max_hops: int, undirected: bool = False, targets: DataFrame | None = None) -> DataFrame:
+    """(id, hop, path): a shortest path to each reachable node, the smallest array of ids among those.
+
+    Undirected edges are stored once and read both ways.  With targets (id) the search ends when all of them are known:
+    later hops would not change their rows.
+    """
     links = cut(adjacency.select("src", "dst"))
+    if undirected:
+        turn = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+        links = links.select(F.inline(F.array(turn("src", "dst"), turn("dst", "src"))))
+    wanted = None if targets is None else cut(targets.select("id").distinct())
     known = cut(seeds.select("id").distinct().select("id", F.lit(0).alias("hop"), F.array("id").alias("path")))
     front = known
     for hop in range(1, max_hops + 1):
@@ -86,6 +94,8 @@ def first_paths(seeds: DataFrame, adjacency: DataFrame, max_hops: int) -> DataFr
         if front.isEmpty():
             break
         known = known.unionByName(front)
+        if wanted is not None and wanted.join(known, "id", "left_anti").isEmpty():
+            break
     return known
 
 
@@ -128,9 +138,9 @@ def path_pattern(seeds: DataFrame, edges: DataFrame, pattern: Sequence[str], fan
     return state.groupBy("seed", F.col("at").alias("terminal")).agg(F.min("nodes").alias("nodes")).withColumn("label", F.lit(label))
 
 
-def shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame, max_hops: int) -> DataFrame:
+def shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame, max_hops: int, undirected: bool = False) -> DataFrame:
     """(id, hop, path) of each target that can be reached."""
-    return first_paths(source, edges, max_hops).join(target.select("id").distinct(), "id", "left_semi")
+    return first_paths(source, edges, max_hops, undirected, target).join(target.select("id").distinct(), "id", "left_semi")
 
 
 def neighbors_default(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

@@ -186,8 +186,8 @@ def bfs_hops(spark, sf):
     SELECT id, 2 AS hop, path FROM two WHERE id IN ('supplier:7', 'supplier:8')""",
 )
 def shortest_path(spark, sf):
-    edges = T.both_ways(T.of_types(driver_edges(spark, sf), ["CONNECTS"]))
-    return T.shortest_path(edges, seed(spark, "supplier:0"), seed(spark, "supplier:7", "supplier:8"), 4)
+    edges = T.of_types(driver_edges(spark, sf), ["CONNECTS"])
+    return T.shortest_path(edges, seed(spark, "supplier:0"), seed(spark, "supplier:7", "supplier:8"), 4, undirected=True)
 
 
 def flow_edges(spark: SparkSession, sf: str) -> DataFrame:

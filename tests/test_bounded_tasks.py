@@ -74,3 +74,17 @@ def test_typed_signals_stay_where_they_are(spark):
     found = connectors.of_type_edges(signals, types)
     assert partitions(found) == []
     assert {(int(r.src) % 2, r.dst) for r in found.collect()} == {(0, "0"), (1, "_unresolved.y")}
+
+
+def test_shortest_path_ends_with_its_targets(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "T") for i in range(9)], "src string, dst string, type string")
+    one = lambda i: spark.createDataFrame([(i,)], "id string")
+    hops, cut = [], T.cut
+    T.cut = lambda df: hops.append(df.columns) or cut(df)
+    try:
+        (r,) = T.shortest_path(edges, one("n3"), one("n1"), 8, undirected=True).collect()
+        assert (r.hop, r.path) == (2, ["n3", "n2", "n1"])
+        assert sum("hop" in c for c in hops) == 3  # the seed and two hops
+        assert T.shortest_path(edges, one("n3"), one("n1"), 8).collect() == []
+    finally:
+        T.cut = cut
