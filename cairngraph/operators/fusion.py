@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairngraph.sources.lineage import dealt
+
 #: How far an extractor is trusted where a triple brings no confidence of its own.
 PRIORS = {"parser": 1.0, "ast": 1.0, "regex": 0.9, "ner": 0.8, "llm": 0.6}
 UNKNOWN_PRIOR = 0.5
@@ -110,7 +112,8 @@ def merge_entities(edges: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def undirected_max_weight(edges: DataFrame) -> DataFrame:
     """(a, b, weight) with a < b and the larger weight of the two directions."""
-    return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("weight"))
+    rows = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight")
+    return dealt(rows, "a", "b").groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
 def within_budget(mentions: DataFrame, key: str, order: str, size: str, budget: int, at_least_one: bool = True) -> DataFrame:

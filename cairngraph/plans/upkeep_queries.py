@@ -11,6 +11,7 @@ from cairngraph.operators import resolution as R
 from cairngraph.operators import similar
 from cairngraph.plans.registry import query
 from cairngraph.sources import lifecycle as L
+from cairngraph.sources.lineage import dealt
 from cairngraph.sources.tables import key, table
 from cairngraph.streaming import ingest
 
@@ -113,8 +114,10 @@ CUST_SUPP_SQL = "SELECT 'customer:' || o_custkey AS c, 'supplier:' || l_suppkey
     SELECT least(a, b) AS a, greatest(a, b) AS b, max(w) AS weight FROM e GROUP BY least(a, b), greatest(a, b)""",
 )
 def undirected_max_weight(spark, sf):
-    pairs = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), F.col("o_orderkey") == F.col("l_orderkey"))
-    both = pairs.groupBy(key("customer", "o_custkey").alias("c"), key("supplier", "l_suppkey").alias("s")).agg(F.max("l_quantity").alias("m"), F.sum("l_quantity").alias("t"))
+    orders, lines = table(spark, sf, "orders").select("o_orderkey", "o_custkey"), table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    pairs = dealt(orders, "o_orderkey", like=lines).join(dealt(lines, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    sums = dealt(pairs, "o_custkey", "l_suppkey").groupBy("o_custkey", "l_suppkey").agg(F.max("l_quantity").alias("m"), F.sum("l_quantity").alias("t"))
+    both = sums.select(key("customer", "o_custkey").alias("c"), key("supplier", "l_suppkey").alias("s"), "m", "t")
     # both directions from one aggregation
     edges = both.select(F.explode(F.array(F.struct(F.col("c").alias("src"), F.col("s").alias("dst"), F.col("m").alias("weight")), F.struct(F.col("s").alias("src"), F.col("c").alias("dst"), F.col("t").alias("weight")))).alias("e")).select("e.*")
     return U.undirected_max_weight(edges)

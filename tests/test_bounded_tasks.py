@@ -88,3 +88,9 @@ def test_shortest_path_ends_with_its_targets(spark):
         assert T.shortest_path(edges, one("n3"), one("n1"), 8).collect() == []
     finally:
         T.cut = cut
+
+
+def test_undirected_weights_are_in_bounded_tasks(spark, table):
+    found = fusion.undirected_max_weight(table([("a", "b", 1), ("b", "a", 3), ("c", "c", 9)], "src string, dst string, weight int"))
+    assert [tuple(r) for r in found.collect()] == [("a", "b", 3)]
+    assert all(n > 4 for n in partitions(found))
