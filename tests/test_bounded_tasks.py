@@ -94,3 +94,21 @@ def test_undirected_weights_are_in_bounded_tasks(spark, table):
     found = fusion.undirected_max_weight(table([("a", "b", 1), ("b", "a", 3), ("c", "c", 9)], "src string, dst string, weight int"))
     assert [tuple(r) for r in found.collect()] == [("a", "b", 3)]
     assert all(n > 4 for n in partitions(found))
+
+
+def test_relations_read_their_texts_once(spark):
+    from cairngraph.functions import text as X
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = ["A Cat is a small animal here. Dogs\tinclude many good breeds.", "Some pets such as Cats, Dogs and Birds.", "Nothing to find in this one, Sir."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    facts = X.extract_relations(docs.mapInArrow(counted, docs.schema), docs.selectExpr("doc_id", "'' AS name"))
+    got = {(r.doc_id, r.predicate, r.subject) for r in facts.collect()}
+    assert {(0, "is_a", "A Cat"), (0, "uses", "Dogs"), (1, "is_a", "Cats")} <= got and {d for d, _, _ in got} == {0, 1}
+    assert read.value == len(texts)
