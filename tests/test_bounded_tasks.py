@@ -112,3 +112,13 @@ def test_relations_read_their_texts_once(spark):
     got = {(r.doc_id, r.predicate, r.subject) for r in facts.collect()}
     assert {(0, "is_a", "A Cat"), (0, "uses", "Dogs"), (1, "is_a", "Cats")} <= got and {d for d, _, _ in got} == {0, 1}
     assert read.value == len(texts)
+
+
+def test_references_split_their_texts_once(spark, monkeypatch):
+    from cairngraph.functions import text as X
+    from cairngraph.plans import catalogue
+
+    calls, whole = [], X.whole_tokens
+    monkeypatch.setattr(X, "whole_tokens", lambda text: calls.append(1) or whole(text))
+    catalogue.queries()["doc_reference_join"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
